@@ -1,9 +1,271 @@
-"""Operator 2: suffix-array dedup (being written)."""
+"""Operator 2: dedup of repeated passages by suffix arrays built with external induced sorting.
 
+A passage is a window of WORDS white-space separated words. To find those that occur twice anywhere in the corpus, windows are dealt
+to shards by content: each window has an anchor, the least hash of GRAM consecutive words in it, and equal windows have equal
+anchors. Windows in a row that share an anchor form a segment; segments whose anchor occurs once in the corpus hold no repeat, all
+others are shuffled to the shard of their anchor. A shard concatenates its distinct segments, builds the suffix array and common
+prefixes of their words (_suffix_array: induced sorting, priority queues in files of the shared folder), and finds as runs of common
+prefixes of WORDS or more all windows that are equal. Of equal windows the first in order of doc_id and place stays; the words
+of the others are cut out of their texts. No window is left out, whatever its count.
 
-def query(spark, sf_dir):
-    raise NotImplementedError
+Words are compared by 32-bit hashes in a shard, after 64-bit hashes of GRAM words have agreed.
 
+Defined results. A null text stays null; texts with fewer than WORDS words, empty ones among them, stay as they are. A null doc_id
+comes after all others in the order. Rows that repeat doc_id and text are one document and have the same result; a doc_id with two
+texts comes in order of a hash of the text. A document all of whose passages are repeats keeps its row, with what is left of the
+text. Texts of any length are read whole. Other columns pass through; n_chars is counted again where the text changed.
+"""
 
-def stage(spark, docs, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ._base import BASES, BROADCAST_BYTES, drop_folder, filesystem, fresh_path, joined, mixed, signed, spaced_words, steps, written
+from ._cuts import CUTS, cut, kept, row_key
+from ._suffix_array import suffix_array
+
+WORDS = 50
+GRAM = 16
+#: Words of a suffix array; a shard with more distinct words than this is sorted in turns, each of whole anchors.
+TURN_WORDS = 4_000_000
+
+
+def segments(words: np.ndarray, word_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window and anchor of each segment, as numbers of words of joined texts."""
+    none = np.zeros(0, np.int64)
+    n = len(words)
+    if n < WORDS:
+        return none, none, none.view(np.uint64)
+    grams = words.copy()
+    span = 1
+    while span < GRAM:  # GRAM is a power of two
+        grams[:-span] = grams[:-span] + grams[span:] * np.uint64(pow(BASES[0], span, 2**64))
+        span *= 2
+    grams = mixed(grams)
+    wide = WORDS - GRAM + 1
+    # the least of each `wide` grams and its place, the last of equals, by doubling
+    least, place, span = grams.copy(), np.arange(n), 1
+    while span < wide:
+        step = min(span, wide - span)
+        left, right = least[:-step], least[step:]
+        lower = right <= left
+        place = np.concatenate((np.where(lower, place[step:], place[:-step]), place[n - step :]))
+        least = np.concatenate((np.where(lower, right, left), least[n - step :]))
+        span += step
+    start = np.flatnonzero(word_doc[WORDS - 1 :] == word_doc[: n - WORDS + 1])
+    at = place[start]
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)))) if len(start) else none
+    if not len(new):
+        return none, none, none.view(np.uint64)
+    last = np.append(new[1:], len(start)) - 1
+    return start[new], start[last], grams[at[new]]
+
+
+def _of(b: pa.RecordBatch) -> tuple:
+    data, offsets = joined(b.column("text"))
+    starts, _, words = spaced_words(data)
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    return words, doc, np.searchsorted(doc, np.arange(b.num_rows)), *segments(words, doc)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches):
+        _, doc, begin, first, _, anchor = _of(b)
+        d = doc[first]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), b.column("row").take(pa.array(d)), pa.array((first - begin[d]).astype(np.int32))], ["anchor", "row", "first"])
+
+
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments that are wanted, with the low halves of their words' hashes."""
+    for b in steps(batches):
+        words, doc, begin, first, last, anchor = _of(b)
+        wanted = b.column("firsts")
+        lengths = np.diff(wanted.offsets.to_numpy())
+        want = np.repeat(np.arange(b.num_rows), lengths) << 32 | wanted.flatten().to_numpy().astype(np.int64)
+        d = doc[first]
+        take = np.flatnonzero(np.isin(d << 32 | (first - begin[d]), want))
+        first, last, anchor, d = first[take], last[take], anchor[take], d[take]
+        low = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        size = last - first + WORDS
+        at = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
+        flat = low[np.arange(at[-1]) + np.repeat(first - at[:-1], size)]
+        body = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        rows = pa.array(d)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), b.column("row").take(rows), b.column("doc_id").take(rows), pa.array((first - begin[d]).astype(np.int32)), body], ["anchor", "row", "doc_id", "first", "words"])
+
+
+def repeated(bodies: list[bytes], holder: np.ndarray, order: np.ndarray, row: np.ndarray, first: np.ndarray, system, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words to cut, as (segment, from, to) with places in the document: of equal windows all but the first.
+
+    bodies: distinct segments; for each segment of the corpus: holder, which of them it is, order, its place in the order of
+    documents and places, row, and first, where its words begin in the document.
+    """
+    size = np.array([len(x) // 4 for x in bodies], np.int64)
+    symbols, text = np.unique(np.frombuffer(b"".join(bodies), np.uint32), return_inverse=True)
+    n, m = len(text), len(bodies)
+    # each segment ends in a separator of its own; the last one is 0 and the least
+    at = np.cumsum(size + 1) - size - 1
+    whole = np.empty(n + m, np.int64)
+    ends = at + size
+    inside = np.ones(n + m, bool)
+    inside[ends] = False
+    whole[inside] = text + m
+    whole[ends] = np.arange(m)[::-1]
+    sa, lcp = suffix_array(whole, m + len(symbols), system, folder)
+    group_of = np.empty(n + m, np.int64)
+    group_of[sa] = np.cumsum(lcp < WORDS) - 1
+    # the first occurrence of each distinct segment, then of each group of windows
+    best = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(best, holder, order)
+    windows = size - WORDS + 1
+    seg = np.repeat(np.arange(m), windows)
+    offset = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+    g = group_of[at[seg] + offset]
+    sort = np.lexsort((offset, best[seg], g))
+    head = np.concatenate(([True], g[sort][1:] != g[sort][:-1]))
+    lead = sort[head]  # the window that stays, by group in order
+    leader = np.empty(len(seg), np.int64)
+    leader[sort] = lead[np.cumsum(head) - 1]
+    start = np.cumsum(windows) - windows
+    # every segment with every one of its windows that isn't the one that stays
+    count = windows[holder]
+    s = np.repeat(np.arange(len(holder)), count)
+    k = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count)
+    w = start[holder[s]] + k
+    of_order = np.empty(len(order), np.int64)
+    of_order[order] = np.arange(len(order))
+    stays = of_order[best[seg[leader[w]]]]
+    stays_at = first[stays] + offset[leader[w]]
+    a = first[s] + k
+    go = ~((stays == s) & (offset[leader[w]] == k)) & ~((row[stays] == row[s]) & (stays_at == a))
+    s, a, stays, stays_at = s[go], a[go], stays[go], stays_at[go]
+    z = a + WORDS
+    # a passage that overlaps the one that stays loses only what is after it
+    a = np.where((row[stays] == row[s]) & (stays_at <= a), np.maximum(a, stays_at + WORDS), a)
+    s, a, z = s[a < z], a[a < z], z[a < z]
+    return s, a, z
+
+
+def _merged(s: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each segment, ascending, as few as they can be."""
+    if not len(s):
+        return s, a, z
+    o = np.lexsort((z, a, s))
+    s, a, z = s[o], a[o], z[o]
+    lift = s * (z.max() + 1)
+    reach = np.maximum.accumulate(z + lift)
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (a[1:] + lift[1:] > reach[:-1])))
+    first = np.flatnonzero(new)
+    return s[first], a[first], (reach - lift)[np.append(first[1:], len(s)) - 1]
+
+
+def _shard(folder: str):
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by anchor, so a turn may end wherever the anchor changes."""
+        system, path = filesystem(folder)
+        system.create_dir(path, recursive=True)
+
+        def turn(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            row, first = t.column("row").to_numpy(), t.column("first").to_numpy().astype(np.int64)
+            null = t.column("doc_id").is_null().to_numpy()
+            doc = t.column("doc_id").fill_null(0).to_numpy()
+            o = np.lexsort((first, row, doc, null))
+            again = np.zeros(len(o), bool)
+            again[1:] = (row[o][1:] == row[o][:-1]) & (first[o][1:] == first[o][:-1])
+            o = o[~again]  # a repeated row is one document
+            row, first = row[o], first[o]
+            index: dict[bytes, int] = {}
+            words = t.column("words").take(pa.array(o)).to_pylist()
+            holder = np.array([index.setdefault(x, len(index)) for x in words], np.int64)
+            s, a, z = _merged(*repeated(list(index), holder, np.arange(len(o)), row, first, system, path))
+            return pa.RecordBatch.from_arrays([pa.array(row[s]), pa.array(a << 32 | z)], ["row", "span"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("anchor").to_numpy()
+            if held and size > 4 * TURN_WORDS:
+                # the last anchor may go on: hold it back
+                old = held[-1].column("anchor").to_numpy()[-1]
+                go = int(np.searchsorted(key, old, side="right"))
+                if go < b.num_rows:
+                    yield turn([*held, b.slice(0, go)])
+                    held, size, b = [], 0, b.slice(go)
+            held.append(b)
+            size += b.column("words").nbytes
+        if held:
+            yield turn(held)
+
+    return shard
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of words as what to keep in bytes: a cut goes from a word's start to the start of the next word that stays."""
+    for b in steps(batches):
+        data, offsets = joined(b.column("text"))
+        starts, ends, _ = spaced_words(data)
+        doc = np.searchsorted(offsets, starts, side="right") - 1
+        begin = np.append(np.searchsorted(doc, np.arange(b.num_rows)), len(starts))
+        keeps, n_cut = [], []
+        for i, spans in enumerate(b.column("spans").to_pylist()):
+            at = starts[begin[i] : begin[i + 1]] - offsets[i]
+            total = int(offsets[i + 1] - offsets[i] - 1)
+            out: list[list[int]] = []
+            for p in sorted(spans):
+                a, z = p >> 32, p & 0xFFFFFFFF
+                x, y = int(at[a]), int(at[z]) if z < len(at) else total
+                if out and x <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], y)
+                else:
+                    out.append([x, y])
+            keeps.append(kept([tuple(x) for x in out]))
+            n_cut.append(sum(y - x for x, y in out))
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(keeps, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(n_cut, pa.int64())], ["row", "keep", "n_cut"])
+
+
+def _with(have: DataFrame, side: DataFrame, item: str) -> DataFrame:
+    """Rows of have with the lists of side (a written table: row and the list `item`)."""
+    rows, items = side.agg(F.count("*"), F.sum(F.size(item))).first()
+    side = side.withColumnRenamed("row", "_row")
+    return have.join(F.broadcast(side) if 64 * rows + 8 * (items or 0) <= BROADCAST_BYTES else side.hint("shuffle_hash"), F.col("row") == F.col("_row"))
+
+
+def repeats(docs: DataFrame) -> tuple[DataFrame, str]:
+    """What to keep of each text that has repeated passages (CUTS), and the folder of the queues."""
+    spark = docs.sparkSession
+    folder = fresh_path(spark, "queues")
+    have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs["doc_id"], docs["text"]).alias("row"))
+    anchors = have.select("text", "row").mapInArrow(_anchors, "anchor bigint, row bigint, first int")
+    shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
+    wanted = written(shared.groupBy("row").agg(F.collect_set("first").alias("firsts")), "segments")
+    parts = _with(have, wanted, "firsts").select("doc_id", "text", "row", "firsts").mapInArrow(_payloads, "anchor bigint, row bigint, doc_id bigint, first int, words binary")
+    spans = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(folder), "row bigint, span bigint")
+    lists = written(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
+    return _with(have, lists, "spans").dropDuplicates(["row"]).select("text", "row", "spans").mapInArrow(_bytes, CUTS), folder
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    cuts, folder = repeats(docs)
+    cuts = written(cuts, "passage-cuts")
+    system, path = filesystem(folder)
+    if system.get_file_info(path).type.name == "Directory":
+        drop_folder(folder)
+    return cut(docs, cuts)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup(docs)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier one has already."""
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
