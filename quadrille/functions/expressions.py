@@ -188,7 +188,7 @@ def arithmetic(sign: str, a: Value, b: Value) -> Value:
         if b.const is not None and b.kind in ("int", "num") and float(b.const.value) != 0:
             return Value("num", l / r)
         inf = F.lit(float("inf"))
-        zero = F.when(F.lit(a.kind == b.kind == "int"), F.lit(None)).when((l == 0) | F.isnan(l), F.lit(float("nan"))).when(l > 0, inf).otherwise(-inf)
+        zero = F.when(F.lit(a.kind == b.kind == "int") | (l == 0), F.lit(None)).when(l > 0, inf).otherwise(-inf)  # 0 / 0 and whole numbers: an error
         return Value("num", F.when(r == 0, zero).otherwise(F.try_divide(l, r)))
     return Value("num", {"+": l + r, "-": l - r, "*": l * r}[sign])
 
