@@ -17,9 +17,12 @@ import numpy as np
 CAP = 255
 #: Tuples that a queue holds in memory before it writes a run.
 QUEUE_TUPLES = 4_000_000
-#: Tuples that a range of symbols should have, and steps that a tuple may take within its range before the range is halved.
+#: Tuples that a range of symbols should have, and the other symbols that a suffix may go through within its range before the range
+#: is halved.
 RANGE_TUPLES = 16_384
-DEPTH = 6
+DEPTH = 32
+#: Bits for the length of a run beside a rank.
+SHIFT = 28
 
 
 class RangeQueue:
@@ -132,47 +135,45 @@ def _induce(text: np.ndarray, target: np.ndarray, run: np.ndarray, seeds: np.nda
     seed_minima = PrefixMinima(len(seeds))
     seed_minima.append(seed_lcp)
     seed_symbol = text[seeds]
-    before = lambda at: at[(at > 0)][target[at[at > 0] - 1]] - 1
+    back = _runs(text[::-1])[::-1]
 
-    def between(code_a, code_b, next_a, next_b, base) -> tuple[np.ndarray, np.ndarray]:
-        """Common prefix of two suffixes by their first codes: a rank known before (< base), or 2 * symbol + is_seed."""
-        out = np.zeros(len(code_a), np.int64)
-        known = code_b < base
-        out[known] = minima.least(code_a[known] + 1, code_b[known] + 1)
-        both = (code_a >= base) & (code_a == code_b)  # two seeds
-        out[both] = seed_minima.least(next_a[both] + 1, next_b[both] + 1)
-        # a target and a seed of one symbol: their runs of it end differently
-        mixed = (code_a >= base) & (code_b == code_a + 1) & ((code_a - base) % 2 == 0)
-        return out, mixed
+    def expanded(p: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Targets that end a run of their symbol, given the columns of what follows: every place of the run, with its columns."""
+        b = back[p]
+        rep = np.repeat(np.arange(len(p)), b)
+        j = np.arange(len(rep)) - np.repeat(np.cumsum(b) - b, b)
+        at = p[rep] - j
+        return at, np.concatenate(((text[at] << 32 | j + 1)[:, None], after[rep]), 1)
 
     def settle(low: int, high: int, rows: np.ndarray) -> None:
-        """Orders everything whose symbol is in [low, high)."""
+        """Orders everything whose symbol is in [low, high).
+
+        A suffix is compared by columns: its symbol and the length of its run (the shorter comes first), then the same of what
+        follows, up to a suffix whose rank is known from an earlier range or that is a seed.
+        """
         base = minima.n
         s0, s1 = np.searchsorted(seed_symbol, (low, high))
         own = np.arange(s0, s1)
-        # level by level: targets whose successor is known, then those before them that stay in the range
-        pos, keys = [rows[:, 2]], [np.stack((rows[:, 0], rows[:, 1]), 1)]
+        # first the targets before a known suffix or before a seed of the range, then those before them that stay in it
+        front = [expanded(rows[:, 2], (rows[:, 1] << SHIFT)[:, None])] if len(rows) else []
         at = seeds[own]
         inner = (at > 0) & target[at - 1]
-        inner[inner] = (text[at[inner] - 1] < high)
+        inner[inner] = text[at[inner] - 1] < high
         if inner.any():
-            p = at[inner] - 1
-            pos.append(p)
-            keys.append(np.stack((text[p], base + 2 * (text[at[inner]] - low) + 1, own[inner]), 1))
-        front = list(zip(pos, keys))
-        single = high - low == 1
-        levels = [(p, k) for p, k in front]
+            front.append(expanded(at[inner] - 1, np.stack((base + 2 * (text[at[inner]] - low) + 1 << SHIFT, own[inner]), 1)))
+        levels: list[tuple[np.ndarray, np.ndarray]] = []
         depth = 0
         while front:
+            levels += front
             nxt = []
             for p, k in front:
                 ok = (p > 0) & target[p - 1]
-                ok[ok] = text[p[ok] - 1] < high
+                ok[ok] = (text[p[ok] - 1] < high) & (text[p[ok] - 1] > text[p[ok]])
                 if ok.any():
-                    q = p[ok] - 1
-                    nxt.append((q, np.concatenate((text[q][:, None], base + 2 * (k[ok, :1] - low), k[ok, 1:]), 1)))
+                    first = k[ok, 0]
+                    nxt.append(expanded(p[ok] - 1, np.concatenate(((base + 2 * ((first >> 32) - low) << SHIFT | first & 0xFFFFFFFF)[:, None], k[ok, 1:]), 1)))
             depth += 1
-            if nxt and depth > DEPTH and not single:
+            if nxt and depth > DEPTH:
                 mid = (low + high) // 2
                 # what the lower half finds for the upper one comes after what was known, as its ranks are greater
                 more: list[np.ndarray] = []
@@ -181,12 +182,9 @@ def _induce(text: np.ndarray, target: np.ndarray, run: np.ndarray, seeds: np.nda
                 later.pop()
                 settle(mid, high, np.concatenate([rows[rows[:, 0] >= mid], *more]))
                 return
-            if nxt and single and depth > DEPTH:
-                break
-            levels += nxt
             front = nxt
-        if single and front and depth > DEPTH:
-            _settle_run(low, rows, own)
+        if not levels:
+            emit(high, np.zeros(0, np.int64), np.zeros(0, np.int64), own)
             return
         width = max(k.shape[1] for _, k in levels)
         key = np.concatenate([np.pad(k, ((0, 0), (0, width - k.shape[1])), constant_values=-1) for _, k in levels])
@@ -194,53 +192,46 @@ def _induce(text: np.ndarray, target: np.ndarray, run: np.ndarray, seeds: np.nda
         sort = np.lexsort(key.T[1::-1])
         if width > 2:
             k2 = key[sort, :2]
-            same = np.zeros(len(sort), bool)
             eq = (k2[1:] == k2[:-1]).all(1)
-            same[1:] |= eq
-            same[:-1] |= eq
-            rows_ = np.flatnonzero(same)
-            if len(rows_):
-                sub = sort[rows_]
-                sort[rows_] = sub[np.lexsort(key[sub].T[::-1])]
+            same = np.append(eq, False) | np.append(False, eq)
+            if same.any():
+                sub = sort[same]
+                sort[same] = sub[np.lexsort(key[sub].T[::-1])]
         p, key = p[sort], key[sort]
         lcp = np.zeros(len(p), np.int64)
         if len(p) > 1:
-            a, b = key[:-1], key[1:]
-            equal = np.cumprod(a == b, axis=1).sum(1)
-            j = np.minimum(equal, width - 1)
-            line = np.arange(len(a))
-            some = equal >= 1
-            ca, cb = a[line, j], b[line, j]
-            na, nb = a[line, np.minimum(j + 1, width - 1)], b[line, np.minimum(j + 1, width - 1)]
-            # equal codes of seeds differ in the next column, which holds the seeds' own ranks
-            seeds_differ = some & (j > 1) & (a[line, j - 1] >= base) & ((a[line, j - 1] - base) % 2 == 1)
-            value, mixed = between(np.where(seeds_differ, a[line, j - 1], ca), np.where(seeds_differ, b[line, j - 1], cb), np.where(seeds_differ, ca, na), np.where(seeds_differ, cb, nb), base)
-            value[mixed & ~seeds_differ] = np.minimum(run[p[:-1] + j], run[np.minimum(p[1:] + j, n - 1)])[mixed & ~seeds_differ]
-            lcp[1:] = np.where(some, np.where(seeds_differ, j - 1, j) + value, 0)
-        emit(low, high, p, np.minimum(lcp, CAP), own)
+            lcp[1:] = prefixes(p, key, base, width)
+        emit(high, p, np.minimum(lcp, CAP), own)
 
-    def _settle_run(c: int, rows: np.ndarray, own: np.ndarray) -> None:
-        """A range of one symbol with long runs: the shorter run comes first, and equal ones as their successors do."""
-        base = minima.n
-        p, rank = rows[:, 2], rows[:, 1]
-        all_p, all_l = [], []
-        last_run, sort = None, np.argsort(rank, kind="stable")
-        p, rank = p[sort], rank[sort]
-        level = 1
-        while len(p):
-            lcp = np.full(len(p), level, np.int64)
-            if len(p) > 1:
-                lcp[1:] += minima.least(rank[:-1] + 1, rank[1:] + 1)
-            lcp[0] = level - 1 if all_p else 0
-            all_p.append(p)
-            all_l.append(lcp)
-            ok = (p > 0) & target[p - 1]
-            ok[ok] = text[p[ok] - 1] == c
-            p, rank = p[ok] - 1, rank[ok]
-            level += 1
-        emit(c, c + 1, np.concatenate(all_p), np.minimum(np.concatenate(all_l), CAP), own)
+    def prefixes(p: np.ndarray, key: np.ndarray, base: int, width: int) -> np.ndarray:
+        """Common prefix of each sorted suffix with the one before it."""
+        a, b = key[:-1], key[1:]
+        out = np.where(a[:, 0] >> 32 == b[:, 0] >> 32, np.minimum(a[:, 0], b[:, 0]) & 0xFFFFFFFF, 0)
+        rows = np.flatnonzero(a[:, 0] == b[:, 0])
+        j = 1
+        while len(rows):  # these agree in all columns before j, over out symbols
+            x, y = a[rows, j], b[rows, j]
+            known = y < base << SHIFT
+            r = rows[known]
+            out[r] += minima.least((x[known] >> SHIFT) + 1, (y[known] >> SHIFT) + 1)
+            symbol_x, symbol_y = (x >> SHIFT) - base, (y >> SHIFT) - base
+            inner = (x >= base << SHIFT) & (symbol_x // 2 == symbol_y // 2)
+            is_x, is_y = symbol_x % 2 == 1, symbol_y % 2 == 1
+            two = inner & is_x & is_y
+            if two.any():
+                out[rows[two]] += seed_minima.least(a[rows[two], j + 1] + 1, b[rows[two], j + 1] + 1)
+            # a target and a seed of one symbol, or two runs of other lengths: common is the shorter run
+            mix = inner & ~is_x & is_y
+            if mix.any():
+                r = rows[mix]
+                out[r] += np.minimum(run[p[r] + out[r]], run[p[r + 1] + out[r]])
+            runs = inner & ~is_x & ~is_y
+            out[rows[runs]] += np.minimum(x[runs], y[runs]) & ((1 << SHIFT) - 1)
+            rows = rows[runs & (x == y)]
+            j += 1
+        return out
 
-    def emit(low: int, high: int, p: np.ndarray, lcp: np.ndarray, own: np.ndarray) -> None:
+    def emit(high: int, p: np.ndarray, lcp: np.ndarray, own: np.ndarray) -> None:
         """Appends targets and seeds of a range, symbol by symbol, targets first; puts what comes before them into the queue."""
         base = minima.n
         sym = np.concatenate((text[p] * 2, seed_symbol[own] * 2 + 1))
