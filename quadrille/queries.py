@@ -82,16 +82,16 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT p_partkey AS p, length(p_name)::BIGINT AS len, upper(substr(p_name, 1, 4)) AS head FROM part WHERE regexp_matches(p_name, 'a.*e', 'i') AND NOT starts_with(p_name, 'b')",
     ),
     "filter_exists": ("SELECT ?c { ?c c:c_acctbal ?b FILTER EXISTS { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > 300000) } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
-    "filter_not_exists": ("SELECT ?c ?n { ?c c:c_name ?n FILTER NOT EXISTS { ?o o:o_custkey ?c } }", "SELECT c_custkey AS c, c_name AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
-    "filter_exists_broad": ("SELECT ?r { ?x r:r_name ?r FILTER EXISTS { ?o o:o_totalprice ?t FILTER(?t > 1e9) } }", "SELECT r_name AS r FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1e9)"),
+    "filter_not_exists": ("SELECT ?c ?n { ?c c:c_name ?n FILTER NOT EXISTS { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > 250000) } }", "SELECT c_custkey AS c, c_name AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)"),
+    "filter_exists_broad": ("SELECT ?r { ?x r:r_name ?r FILTER EXISTS { ?o o:o_totalprice ?t FILTER(?t > 1e5) } }", "SELECT r_name AS r FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1e5)"),
     "filter_not_exists_broad": ("SELECT ?r { ?x r:r_name ?r FILTER NOT EXISTS { ?o o:o_totalprice ?t FILTER(?t > 1e9) } }", "SELECT r_name AS r FROM region WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1e9)"),
     "filter_not_exists_correlated": (
         "SELECT ?s ?b { ?s s:s_nationkey ?n ; s:s_acctbal ?b FILTER NOT EXISTS { ?s2 s:s_nationkey ?n ; s:s_acctbal ?b2 FILTER(?b2 > ?b) } }",
         "SELECT s_suppkey AS s, s_acctbal AS b FROM supplier x WHERE NOT EXISTS (SELECT 1 FROM supplier y WHERE y.s_nationkey = x.s_nationkey AND y.s_acctbal > x.s_acctbal)",
     ),
     "filter_exists_nested": (
-        'SELECT ?n { ?n n:n_name ?m FILTER EXISTS { ?c c:c_nationkey ?n ; c:c_mktsegment "BUILDING" FILTER NOT EXISTS { ?o o:o_custkey ?c } } }',
-        "SELECT n_nationkey AS n FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))",
+        'SELECT ?n { ?n n:n_name ?m FILTER EXISTS { ?c c:c_nationkey ?n ; c:c_mktsegment "BUILDING" FILTER NOT EXISTS { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > 250000) } } }',
+        "SELECT n_nationkey AS n FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000))",
     ),
     "optional_filtered": (
         "SELECT ?c ?o ?t { ?c c:c_acctbal ?b FILTER(?b > 9000) OPTIONAL { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > ?b * 20) } }",
