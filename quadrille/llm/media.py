@@ -6,8 +6,9 @@ filled by range reads of at most HEADER_BYTES at a payload's offset, so payloads
 under a name of its own and moves it into place; a task run again writes the same members, so no shard is ever half written.
 
 Defined results. A null payload: all columns but the id are null. An empty payload is stored, with size 0 and kind 'empty'. Equal
-payloads share one member; repeated rows give repeated rows. A payload whose header isn't known has kind 'unknown' and null metadata.
-Payloads of any length are stored whole. Other columns are not read.
+payloads share one member, which the row with the smallest id stores; repeated rows give repeated rows (where they repeat the id too,
+each task may store the payload; all rows then name one place). A payload whose header isn't known has kind 'unknown' and null
+metadata. Payloads of any length are stored whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import filesystem, fresh_path, written
+from ._base import filesystem, fresh_path, small, written
 
 #: Bytes of payload that a shard should hold.
 SHARD_BYTES = 64 << 20
@@ -72,7 +73,8 @@ def _shard(folder: str):
         part = f"{path}/part-{uuid.uuid4().hex}"
         scheme = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
         rows: list[tuple] = []
-        out = last = None
+        out = None
+        seen: set[str] = set()
         at = 0
         names: list[str] = []
 
@@ -83,9 +85,9 @@ def _shard(folder: str):
 
         for b in batches:
             for digest, payload in zip(b.column("digest").to_pylist(), b.column("payload").to_pylist()):
-                if digest == last:  # rows come sorted by digest
+                if digest in seen:
                     continue
-                last = digest
+                seen.add(digest)
                 if out is None:
                     names.append(f"{part}-{len(names):04d}.tar")
                     out, at = system.open_output_stream(names[-1] + ".writing"), 0
@@ -147,10 +149,14 @@ def store(rows: DataFrame, id_column: str, payload_column: str) -> DataFrame:
     folder = fresh_path(spark, "payloads")
     raw = rows.select(F.col(id_column).alias("id"), F.col(payload_column).cast("binary").alias("payload"))
     named = raw.withColumn("digest", F.sha2("payload", 256))
-    sorted_ = named.where("payload IS NOT NULL").select("digest", "payload").repartition("digest").sortWithinPartitions("digest")
-    index = written(sorted_.mapInArrow(_shard(folder), PLACE), "payload-index")
-    known = written(index.mapInArrow(_headers, f"{PLACE}, {META}"), "payload-headers").withColumnRenamed("digest", "_digest")
-    return named.select("id", "digest").join(known, F.col("digest") == F.col("_digest"), "left").drop("_digest").withColumnRenamed("id", id_column)
+    # payloads stay where they are read: only digests are shuffled, to tell which row of several stores its payload
+    again = written(named.where("payload IS NOT NULL").groupBy("digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_digest"), "_first"), "payload-copies")
+    mine = named.where("payload IS NOT NULL").join(small(again, 160), F.col("digest") == F.col("_digest"), "left").where("_digest IS NULL OR id <=> _first")
+    index = written(mine.select("digest", "payload").mapInArrow(_shard(folder), PLACE), "payload-index")
+    known = written(index.mapInArrow(_headers, f"{PLACE}, {META}"), "payload-headers")
+    columns = [c for c in known.columns if c != "digest"]
+    one = known.groupBy(F.col("digest").alias("_digest")).agg(F.min(F.struct(*columns)).alias("_place")).select("_digest", *(F.col(f"_place.{c}").alias(c) for c in columns))
+    return named.select("id", "digest").join(one, F.col("digest") == F.col("_digest"), "left").drop("_digest").withColumnRenamed("id", id_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
