@@ -1,10 +1,11 @@
 """Operator 8: a URL filter by the ratio of two character language models.
 
-Two variable-order Markov models, for accepted and for rejected URLs, are counted over all URLs: seeds are URLs whose host holds a
-term of a block list; all others count as accepted. The probability of a character is that of the longest context, smoothed
-recursively by the shorter ones (weight SMOOTH). A URL is scored by the difference of the log-likelihoods over its length. The
-cut-off is calibrated over all URLs: the score, in hundredths, that best tells the seeds from the rest. So a URL without any
-listed term is rejected if it reads like the listed ones.
+Two variable-order Markov models, for accepted and for rejected URLs, are counted over all URLs: seeds of the rejected ones are URLs
+whose host holds a term of a block list; all others count as accepted. The probability of a character is that of the longest context,
+smoothed recursively by the shorter ones (weight SMOOTH). A URL is scored by the difference of the log-likelihoods over its length.
+Hosts are dealt to two folds by a hash, and each fold is scored by the models of the other, so no URL vouches for itself and a
+host without any listed term is rejected if it reads like listed ones. The cut-off is calibrated over all URLs: the score, in
+hundredths, that best tells the seeds from the rest.
 
 Because every URL is padded, all counts follow from those of the ORDER + 1 characters at each place; the models are worked out over
 these distinct strings alone and joined back.
@@ -16,8 +17,6 @@ each. No URL is cut. Ties between cut-offs: the lowest. With no rejected URL at
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,34 +27,35 @@ SMOOTH = 2.0
 ALPHABET = 128
 BLOCKED = ("casino", "bets", "pills", "spam", "adult", "ads-track")
 
-_PAD = "\\u0001" * ORDER
+#: Counts and probabilities: of accepted (a) and rejected (r) URLs, as fold 0 or 1 is scored with them.
+_MODELS = [f"{m}{f}" for f in (0, 1) for m in "ar"]
 
 
 def url_scores(pages: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
     """page_id, url, is_seed (its host is listed), score_micro (a millionth of a nat a character), keep."""
     at = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
-    at = at.withColumn("is_seed", F.regexp_extract(F.lower("url"), r"^(?:[a-z]+://)?([^/]*)", 1).rlike("|".join(blocked)))
-    named = at.where("url IS NOT NULL").groupBy("url", "is_seed").agg(F.count("*").alias("n"))
+    host = F.regexp_extract(F.lower("url"), r"^(?:[a-z]+://)?([^/]*)", 1)
+    at = at.withColumn("is_seed", host.rlike("|".join(blocked))).withColumn("fold", F.contains(F.lit("02468ace"), F.substring(F.md5(host), 1, 1)).cast("int"))
+    named = at.where("url IS NOT NULL").groupBy("url", "is_seed", "fold").agg(F.count("*").alias("n"))
     named = written(named.withColumn("s", F.concat(F.lit("\x01" * ORDER), F.regexp_replace(F.lower("url"), "^[a-z]+://", ""), F.lit("\x02"))), "urls")
-    grams = named.select("url", "n", "is_seed", F.explode(F.expr(f"transform(sequence(1, length(s) - {ORDER}), i -> substr(s, i, {ORDER + 1}))")).alias("g"))
-    per = written(grams.groupBy("g").agg(F.sum(F.when(~F.col("is_seed"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("is_seed"), F.col("n")).otherwise(0)).alias("r")), "grams")
-    model = per.select("g", F.lit(1.0 / ALPHABET).alias("pa"), F.lit(1.0 / ALPHABET).alias("pr"))
+    grams = named.select("url", "n", "is_seed", "fold", F.explode(F.expr(f"transform(sequence(1, length(s) - {ORDER}), i -> substr(s, i, {ORDER + 1}))")).alias("g"))
+    own = lambda c: F.sum(F.when((F.col("is_seed") == (c[0] == "r")) & (F.col("fold") != int(c[1])), F.col("n")).otherwise(0)).alias(c)
+    per = written(grams.groupBy("g").agg(*map(own, _MODELS)), "grams")
+    model = per.select("g", *(F.lit(1.0 / ALPHABET).alias(f"p{m}") for m in _MODELS))
     for k in range(ORDER + 1):
-        pair = per.groupBy(F.substring("g", ORDER + 1 - k, k + 1).alias("x")).agg(F.sum("a").alias("xa"), F.sum("r").alias("xr"))
+        pair = per.groupBy(F.substring("g", ORDER + 1 - k, k + 1).alias("x")).agg(*(F.sum(m).alias(f"x{m}") for m in _MODELS))
         pair = written(pair.withColumn("c", F.expr(f"substr(x, 1, {k})")), "pairs")
-        context = pair.groupBy("c").agg(F.sum("xa").alias("ca"), F.sum("xr").alias("cr"))
-        both = pair.join(small(context, 48), "c")
-        rated = both.select("x", "xa", "xr", "ca", "cr")
-        model = model.withColumn("x", F.substring("g", ORDER + 1 - k, k + 1)).join(rated, "x").select("g", *(((F.col(f"x{m}") + SMOOTH * F.col(f"p{m}")) / (F.col(f"c{m}") + SMOOTH)).alias(f"p{m}") for m in "ar"))
-    model = written(model.select(F.col("g").alias("mg"), (F.log("pa") - F.log("pr")).alias("d")), "url-model")
-    scored = grams.join(small(model, 48), F.col("g") == F.col("mg")).groupBy("url").agg(F.first("n").alias("n"), F.first("is_seed").alias("is_seed"), (F.sum("d") / F.count("*")).alias("score"))
+        context = pair.groupBy("c").agg(*(F.sum(f"x{m}").alias(f"c{m}") for m in _MODELS))
+        rated = pair.join(small(context, 80), "c").drop("c")
+        model = model.withColumn("x", F.substring("g", ORDER + 1 - k, k + 1)).join(rated, "x").select("g", *(((F.col(f"x{m}") + SMOOTH * F.col(f"p{m}")) / (F.col(f"c{m}") + SMOOTH)).alias(f"p{m}") for m in _MODELS))
+    model = written(model.select(F.col("g").alias("mg"), (F.log("pa0") - F.log("pr0")).alias("d0"), (F.log("pa1") - F.log("pr1")).alias("d1")), "url-model")
+    scored = grams.join(small(model, 64), F.col("g") == F.col("mg")).groupBy("url").agg(F.first("n").alias("n"), F.first("is_seed").alias("is_seed"), (F.sum(F.when(F.col("fold") == 0, F.col("d0")).otherwise(F.col("d1"))) / F.count("*")).alias("score"))
     scored = written(scored, "url-scores")
     bins = scored.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.sum(F.when(F.col("is_seed"), 0).otherwise(F.col("n"))).alias("a"), F.sum(F.when(F.col("is_seed"), F.col("n")).otherwise(0)).alias("r"))
     # few rows: one a hundredth of a nat
-    over = Window.orderBy(F.col("bin").desc())
-    every = Window.partitionBy()
-    gain = F.sum("a").over(over) / F.sum("a").over(every) - F.sum("r").over(over) / F.sum("r").over(every)
-    best = bins.where("a + r > 0").withColumn("gain", F.round(gain, 9)).agg(F.max_by("bin", F.struct(F.col("gain"), -F.col("bin"))).alias("cut"), F.sum("a").alias("ta"), F.sum("r").alias("tr")).select(F.when((F.col("ta") > 0) & (F.col("tr") > 0), F.col("cut")).alias("cut"))
+    over, every = Window.orderBy(F.col("bin").desc()), Window.partitionBy()
+    gain = F.try_divide(F.sum("a").over(over), F.sum("a").over(every)) - F.try_divide(F.sum("r").over(over), F.sum("r").over(every))
+    best = bins.withColumn("gain", F.round(gain, 9)).agg(F.max_by("bin", F.struct(F.col("gain"), -F.col("bin"))).alias("cut"), F.sum("a").alias("ta"), F.sum("r").alias("tr")).select(F.when((F.col("ta") > 0) & (F.col("tr") > 0), F.col("cut")).alias("cut"))
     known = scored.select(F.col("url").alias("_u"), "score").crossJoin(F.broadcast(best))
     out = at.join(known, F.col("url") == F.col("_u"), "left")
     score = F.when(F.col("url").isNotNull(), F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.floor(F.col("score") * 1000000)))
@@ -69,17 +69,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     parts = []
     for k in range(ORDER + 1):
-        parts.append(f"x{k} AS (SELECT substr(g, {ORDER + 1 - k}, {k + 1}) AS x, substr(g, {ORDER + 1 - k}, {k}) AS c, sum(a) AS xa, sum(r) AS xr FROM per GROUP BY ALL)")
-        parts.append(f"c{k} AS (SELECT c, sum(xa) AS ca, sum(xr) AS cr FROM x{k} GROUP BY c)")
-        before = f"m{k - 1}" if k else f"(SELECT g, 1.0::DOUBLE / {ALPHABET} AS pa, 1.0::DOUBLE / {ALPHABET} AS pr FROM per)"
-        parts.append(f"m{k} AS (SELECT m.g, (x.xa + {SMOOTH}::DOUBLE * m.pa) / (c.ca + {SMOOTH}::DOUBLE) AS pa, (x.xr + {SMOOTH}::DOUBLE * m.pr) / (c.cr + {SMOOTH}::DOUBLE) AS pr FROM {before} m JOIN x{k} x ON x.x = substr(m.g, {ORDER + 1 - k}, {k + 1}) JOIN c{k} c ON c.c = x.c)")
+        sums = ", ".join(f"sum({m}) AS x{m}" for m in _MODELS)
+        totals = ", ".join(f"sum(x{m}) AS c{m}" for m in _MODELS)
+        rates = ", ".join(f"(x.x{m} + {SMOOTH}::DOUBLE * m.p{m}) / (c.c{m} + {SMOOTH}::DOUBLE) AS p{m}" for m in _MODELS)
+        first = ", ".join(f"1.0::DOUBLE / {ALPHABET} AS p{m}" for m in _MODELS)
+        parts.append(f"x{k} AS (SELECT substr(g, {ORDER + 1 - k}, {k + 1}) AS x, substr(g, {ORDER + 1 - k}, {k}) AS c, {sums} FROM per GROUP BY ALL)")
+        parts.append(f"c{k} AS (SELECT c, {totals} FROM x{k} GROUP BY c)")
+        before = f"m{k - 1}" if k else f"(SELECT g, {first} FROM per)"
+        parts.append(f"m{k} AS (SELECT m.g, {rates} FROM {before} m JOIN x{k} x ON x.x = substr(m.g, {ORDER + 1 - k}, {k + 1}) JOIN c{k} c ON c.c = x.c)")
+    counts = ", ".join(f"sum(CASE WHEN {'is_seed' if m[0] == 'r' else 'NOT is_seed'} AND fold <> {m[1]} THEN n ELSE 0 END)::DOUBLE AS {m}" for m in _MODELS)
     return f"""
-WITH p AS (SELECT page_id, url, regexp_matches(regexp_extract(lower(url), '^(?:[a-z]+://)?([^/]*)', 1), '{'|'.join(BLOCKED)}') AS is_seed FROM pages),
-named AS (SELECT url, is_seed, count(*) AS n, repeat(chr(1), {ORDER}) || regexp_replace(lower(url), '^[a-z]+://', '') || chr(2) AS s FROM p WHERE url IS NOT NULL GROUP BY url, is_seed),
-grams AS (SELECT url, n, is_seed, substr(s, i, {ORDER + 1}) AS g FROM (SELECT url, n, is_seed, s, unnest(range(1, length(s) - {ORDER} + 1)) AS i FROM named)),
-per AS (SELECT g, sum(CASE WHEN is_seed THEN 0 ELSE n END)::DOUBLE AS a, sum(CASE WHEN is_seed THEN n ELSE 0 END)::DOUBLE AS r FROM grams GROUP BY g),
+WITH h AS (SELECT page_id, url, regexp_extract(lower(url), '^(?:[a-z]+://)?([^/]*)', 1) AS host FROM pages),
+p AS (SELECT page_id, url, regexp_matches(host, '{"|".join(BLOCKED)}') AS is_seed, CASE WHEN contains('02468ace', substr(md5(host), 1, 1)) THEN 1 ELSE 0 END AS fold FROM h),
+named AS (SELECT url, is_seed, fold, count(*) AS n, repeat(chr(1), {ORDER}) || regexp_replace(lower(url), '^[a-z]+://', '') || chr(2) AS s FROM p WHERE url IS NOT NULL GROUP BY url, is_seed, fold),
+grams AS (SELECT url, n, is_seed, fold, substr(s, i, {ORDER + 1}) AS g FROM (SELECT url, n, is_seed, fold, s, unnest(range(1, length(s) - {ORDER} + 1)) AS i FROM named)),
+per AS (SELECT g, {counts} FROM grams GROUP BY g),
 {", ".join(parts)},
-scored AS (SELECT url, first(n) AS n, first(is_seed) AS is_seed, sum(ln(pa) - ln(pr)) / count(*) AS score FROM grams JOIN m{ORDER} USING (g) GROUP BY url),
+scored AS (SELECT url, first(n) AS n, first(is_seed) AS is_seed, sum(CASE WHEN fold = 0 THEN ln(pa0) - ln(pr0) ELSE ln(pa1) - ln(pr1) END) / count(*) AS score FROM grams JOIN m{ORDER} USING (g) GROUP BY url),
 bins AS (SELECT floor(score * 100)::BIGINT AS bin, sum(CASE WHEN is_seed THEN 0 ELSE n END)::DOUBLE AS a, sum(CASE WHEN is_seed THEN n ELSE 0 END)::DOUBLE AS r FROM scored GROUP BY 1),
 gains AS (SELECT bin, round(sum(a) OVER (ORDER BY bin DESC) / sum(a) OVER () - sum(r) OVER (ORDER BY bin DESC) / sum(r) OVER (), 9) AS gain FROM bins),
 best AS (SELECT bin AS cut FROM gains ORDER BY gain DESC, bin LIMIT 1)
