@@ -7,7 +7,7 @@ labelled documents, chosen by a hash of doc_id; every document is scored.
 
 Defined results. A null text has null scores and is rejected; an empty one is scored by its statistics, all 0. Repeated rows score
 alike; a null doc_id is scored like any other, but is never a training row. Of several labels of a document the lowest quality and
-the highest toxicity count. Without training rows of both kinds a head passes everything (score 1, or 0 for toxicity). Texts of
+the highest toxicity count. Without training rows of both kinds, or with too few for a rule, a head passes everything (score 1, or 0 for toxicity). Texts of
 any length are measured whole. Other columns pass through the stage.
 """
 
@@ -26,10 +26,10 @@ from ._bpe import NONE, Table
 #: Bound of the training sample, in labelled documents.
 SAMPLE = 12_000
 #: Share of clean labelled documents that a threshold may cost.
-CLEAN_LOSS = 0.002
+CLEAN_LOSS = 0.005
 TREES = 24
 DEPTH = 3
-LEXICON = 64
+LEXICON = 512
 
 _GROUPS = {"upper": range(65, 91), "digit": range(48, 58), "blank": (9, 32), "line": (10, 13), "mark": b".,;:?'\"-()", "shout": b"!", "pipe": b"|", "symbol": b"#$%&*+/<=>@[\\]^_`{}~", "control": [*range(9), 11, 12, *range(14, 32), 127], "wide": range(128, 256)}
 STATISTICS = ("bytes", *(f"{g}_share" for g in _GROUPS), "words", "word_bytes", "word_variety", "line_variety", "poor_words", "toxic_words")
@@ -155,6 +155,8 @@ def fit_head(x: np.ndarray, y: np.ndarray, clean: np.ndarray, clean_is: int, las
     if len(y) == 0 or y.min() == y.max():
         return Head([], [], 20.0 if clean_is else -20.0, 0.5)
     rules = grow_rules(x, y, np.random.Generator(np.random.PCG64(11)))
+    if not rules:  # too few rows for a single one
+        return Head([], [], 20.0 if clean_is else -20.0, 0.5)
     r = np.stack([holds(rule, x) for rule in rules], 1).astype(np.float64)
     _, first = np.unique(r, axis=1, return_index=True)
     first = np.sort(first)
@@ -191,8 +193,10 @@ def lexicon(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     vocabulary, which = np.unique(np.concatenate(words), return_inverse=True)
     yes, no = np.bincount(which, y[doc], len(vocabulary)), np.bincount(which, 1 - y[doc], len(vocabulary))
     odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / (len(y) - y.sum() + 1))
-    order = np.argsort(-odds * np.sqrt(yes), kind="stable")
-    return vocabulary[[i for i in order[:LEXICON] if odds[i] > 2 and yes[i] >= 5]]
+    # the least that the odds may be, two standard errors down
+    least = odds - 2 * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+    order = np.argsort(-least, kind="stable")[:LEXICON]
+    return vocabulary[order[(least[order] > 1.6) & (50 * no[order] <= yes[order])]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Head, Head, np.ndarray, np.ndarray]:

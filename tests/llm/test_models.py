@@ -25,7 +25,7 @@ def labelled(spark):
 def test_held_out_accuracy(spark, labelled):
     docs, labels = labelled
     train, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    rows = quality.scored(docs.join(held, "doc_id", "left_semi"), train).select("doc_id", "_quality.*").join(held, "doc_id").collect()
+    rows = quality.scored(docs, train).select("doc_id", "_quality.*").join(held, "doc_id").collect()
     assert len(rows) > 500
     assert np.mean([(r.quality_score >= 0.5) == (r.quality == 1) for r in rows]) > 0.97
     clean = [r.keep for r in rows if r.quality == 1 and r.toxic == 0]
@@ -76,11 +76,12 @@ def test_url_filter_against_sql(spark):
 
 
 def test_url_filter_learns_beyond_the_list(spark):
-    """Spam of a kind that is listed by another term reads like what is listed."""
+    """A host that isn't listed, but reads like those that are, is rejected by what the other fold has learned."""
     rows = [(i, f"https://site{i % 37}.example.org/en/{i}") for i in range(300)] + [(1000 + i, f"http://best-casino-wins{i}.example.com/play") for i in range(60)]
     rows += [(2000, "http://best-casin0-wins7.example.com/play"), (2001, None), (2002, ""), (0, rows[0][1])]
     got = {r.page_id: r for r in url_filter.url_scores(spark.createDataFrame(rows, "page_id bigint, url string").withColumn("g", F.lit(1))).collect()}
-    assert not got[2000].keep and not got[2000].is_seed and got[0].keep and not got[1005].keep
+    assert not got[2000].is_seed and got[2000].score_micro < 0 and got[0].keep and not got[1005].keep
+    assert got[2000].score_micro < min(got[i].score_micro for i in range(300))
     assert got[2001].score_micro is None and not got[2001].keep and got[2002].score_micro is not None
     assert len(url_filter.url_scores(spark.createDataFrame(rows, "page_id bigint, url string")).collect()) == len(rows)
 
