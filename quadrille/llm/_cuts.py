@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,26 @@ def kept(removed: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [*out, {"a": at, "b": 2**31 - 1}]
 
 
-def cut(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """docs with the kept spans as text; n_chars, where there is such a column, is counted again for those rows. cuts is a written table."""
+def cut(docs: DataFrame, side: DataFrame, item: str, new: Callable[[Column, Column], Column]) -> DataFrame:
+    """docs with new(text, item) as text in the rows that side (a written table: row, item) names; n_chars, where there is such a
+    column, is counted again for those rows."""
     key = "_row"
-    while any(c.lower() == key for c in docs.columns):
+    while any(c.lower().startswith(key) for c in docs.columns):
         key += "_"
-    few = cuts.agg(F.count("*"), F.sum(F.size("keep"))).first()
-    side = cuts.select(F.col("row").alias(key), F.col("keep").alias(key + "_keep"))
-    side = F.broadcast(side) if 64 * few[0] + 32 * (few[1] or 0) <= BROADCAST_BYTES else side.hint("shuffle_hash")
-    own = docs.withColumn(key, row_key(docs["doc_id"], docs["text"]))
-    both = own.join(side, key, "left")
-    raw = F.col("text").cast("string").cast("binary")
-    new = F.array_join(F.transform(F.col(key + "_keep"), lambda s: F.substring(raw, s["a"] + 1, s["b"] - s["a"]).cast("string")), "")
-    both = both.withColumn("text", F.when(F.col(key + "_keep").isNull(), F.col("text")).otherwise(new))
+    rows, items = side.agg(F.count("*"), F.sum(F.size(item))).first()
+    side = side.select(F.col("row").alias(key), F.col(item).alias(key + "_item"))
+    side = F.broadcast(side) if 64 * rows + 16 * (items or 0) <= BROADCAST_BYTES else side.hint("shuffle_hash")
+    both = docs.withColumn(key, row_key(docs["doc_id"], docs["text"])).join(side, key, "left")
+    what = F.col(key + "_item")
+    both = both.withColumn(key + "_new", new(F.when(what.isNotNull(), F.col("text").cast("string")), what))
+    changed = F.col(key + "_new")
+    both = both.withColumn("text", F.coalesce(changed, F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col(key + "_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        both = both.withColumn("n_chars", F.when(changed.isNull(), F.col("n_chars")).otherwise(F.length(changed).cast(docs.schema["n_chars"].dataType)))
     return both.select(*docs.columns)
+
+
+def keep_bytes(text: Column, keep: Column) -> Column:
+    """The kept spans of a text (CUTS), joined."""
+    raw = text.cast("binary")
+    return F.array_join(F.transform(keep, lambda s: F.substring(raw, s["a"] + 1, s["b"] - s["a"]).cast("string")), "")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._base import BYTE_VALUES, GEAR, joined, span_hashes, steps, signed, written
-from ._cuts import CUTS, cut, kept, row_key
+from ._cuts import CUTS, cut, keep_bytes, kept, row_key
 
 MASK_BITS = 4
 MIN_CHUNK = 24
@@ -117,7 +117,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    return cut(docs, written(repeats(docs), "chunk-cuts"))
+    return cut(docs, written(repeats(docs), "chunk-cuts"), "keep", keep_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._base import BASES, BROADCAST_BYTES, drop_folder, filesystem, fresh_path, joined, mixed, signed, spaced_words, steps, written
-from ._cuts import CUTS, cut, kept, row_key
+from ._base import BASES, drop_folder, filesystem, fresh_path, joined, mixed, signed, spaced_words, steps, written
+from ._cuts import cut, row_key
 from ._suffix_array import suffix_array
 
 WORDS = 50
@@ -208,58 +209,53 @@ def _shard(folder: str):
     return shard
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of words as what to keep in bytes: a cut goes from a word's start to the start of the next word that stays."""
-    for b in steps(batches):
-        data, offsets = joined(b.column("text"))
-        starts, ends, _ = spaced_words(data)
-        doc = np.searchsorted(offsets, starts, side="right") - 1
-        begin = np.append(np.searchsorted(doc, np.arange(b.num_rows)), len(starts))
-        keeps, n_cut = [], []
-        for i, spans in enumerate(b.column("spans").to_pylist()):
-            at = starts[begin[i] : begin[i + 1]] - offsets[i]
-            total = int(offsets[i + 1] - offsets[i] - 1)
-            out: list[list[int]] = []
-            for p in sorted(spans):
+@F.arrow_udf(T.StringType())
+def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without these spans of words; a cut goes from a word's start to the start of the next word that stays."""
+    out: list[str | None] = []
+    for b in steps(iter([pa.RecordBatch.from_arrays([texts, spans], ["text", "spans"])])):
+        some = b.filter(b.column("text").is_valid())
+        data, offsets = joined(some.column("text"))
+        starts, _, _ = spaced_words(data)
+        begin = np.searchsorted(starts, offsets)
+        raw = data.tobytes()
+        done = []
+        for i, own in enumerate(some.column("spans").to_pylist()):
+            at, end = starts[begin[i] : begin[i + 1]], int(offsets[i + 1]) - 1
+            last, parts = int(offsets[i]), []
+            for p in sorted(own):
                 a, z = p >> 32, p & 0xFFFFFFFF
-                x, y = int(at[a]), int(at[z]) if z < len(at) else total
-                if out and x <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], y)
-                else:
-                    out.append([x, y])
-            keeps.append(kept([tuple(x) for x in out]))
-            n_cut.append(sum(y - x for x, y in out))
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(keeps, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(n_cut, pa.int64())], ["row", "keep", "n_cut"])
-
-
-def _with(have: DataFrame, side: DataFrame, item: str) -> DataFrame:
-    """Rows of have with the lists of side (a written table: row and the list `item`)."""
-    rows, items = side.agg(F.count("*"), F.sum(F.size(item))).first()
-    side = side.withColumnRenamed("row", "_row")
-    return have.join(F.broadcast(side) if 64 * rows + 8 * (items or 0) <= BROADCAST_BYTES else side.hint("shuffle_hash"), F.col("row") == F.col("_row"))
+                x, y = int(at[a]), int(at[z]) if z < len(at) else end
+                if x > last:
+                    parts.append(raw[last:x])
+                last = max(last, y)
+            parts.append(raw[last:end])
+            done.append(b"".join(parts).decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode())
+        new = iter(done)
+        out += [next(new) if ok else None for ok in b.column("text").is_valid().to_pylist()]
+    return pa.array(out, pa.string())
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, str]:
-    """What to keep of each text that has repeated passages (CUTS), and the folder of the queues."""
+    """(row, spans) of texts with repeated passages, spans of words to cut as from << 32 | to; and the folder of the queues."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "queues")
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs["doc_id"], docs["text"]).alias("row"))
     anchors = have.select("text", "row").mapInArrow(_anchors, "anchor bigint, row bigint, first int")
     shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    wanted = written(shared.groupBy("row").agg(F.collect_set("first").alias("firsts")), "segments")
-    parts = _with(have, wanted, "firsts").select("doc_id", "text", "row", "firsts").mapInArrow(_payloads, "anchor bigint, row bigint, doc_id bigint, first int, words binary")
+    wanted = shared.groupBy("row").agg(F.collect_set("first").alias("firsts")).withColumnRenamed("row", "_row")
+    parts = have.join(wanted.hint("shuffle_hash"), F.col("row") == F.col("_row")).select("doc_id", "text", "row", "firsts").mapInArrow(_payloads, "anchor bigint, row bigint, doc_id bigint, first int, words binary")
     spans = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(folder), "row bigint, span bigint")
-    lists = written(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), "spans")
-    return _with(have, lists, "spans").dropDuplicates(["row"]).select("text", "row", "spans").mapInArrow(_bytes, CUTS), folder
+    return spans.groupBy("row").agg(F.collect_set("span").alias("spans")), folder
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    cuts, folder = repeats(docs)
-    cuts = written(cuts, "passage-cuts")
+    spans, folder = repeats(docs)
+    spans = written(spans, "passages")
     system, path = filesystem(folder)
     if system.get_file_info(path).type.name == "Directory":
         drop_folder(folder)
-    return cut(docs, cuts)
+    return cut(docs, spans, "spans", without)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
