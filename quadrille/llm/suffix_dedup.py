@@ -209,6 +209,17 @@ def _shard(folder: str):
     return shard
 
 
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each row, ascending and as few as they can be."""
+    for b in batches:
+        spans = b.column("spans")
+        p = spans.flatten().to_numpy()
+        s = np.repeat(np.arange(b.num_rows), np.diff(spans.offsets.to_numpy()))
+        s, a, z = _merged(s, p >> 32, p & 0xFFFFFFFF)
+        at = np.searchsorted(s, np.arange(b.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(a << 32 | z))], ["row", "spans"])
+
+
 @F.arrow_udf(T.StringType())
 def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts without these spans of words; a cut goes from a word's start to the start of the next word that stays."""
@@ -246,7 +257,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, str]:
     wanted = shared.groupBy("row").agg(F.collect_set("first").alias("firsts")).withColumnRenamed("row", "_row")
     parts = have.join(wanted.hint("shuffle_hash"), F.col("row") == F.col("_row")).select("doc_id", "text", "row", "firsts").mapInArrow(_payloads, "anchor bigint, row bigint, doc_id bigint, first int, words binary")
     spans = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(folder), "row bigint, span bigint")
-    return spans.groupBy("row").agg(F.collect_set("span").alias("spans")), folder
+    return spans.groupBy("row").agg(F.collect_set("span").alias("spans")).mapInArrow(_compact, "row bigint, spans array<bigint>"), folder
 
 
 def dedup(docs: DataFrame) -> DataFrame:
