@@ -25,6 +25,8 @@ from ._cuts import CUTS, cut, keep_bytes, kept, row_key
 
 MASK_BITS = 4
 MIN_CHUNK = 24
+#: Bytes that the rolling hash sees.
+WINDOW = 32
 MAX_CHUNK = 2048
 RUN_BYTES = 96
 
@@ -52,7 +54,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         last = begin
         while i < n and marks[i] < end:
             m = marks[i]
-            if m - last >= MIN_CHUNK:
+            if m - last >= MIN_CHUNK and m - begin >= WINDOW:  # before that the hash still sees the text before
                 while m - last > MAX_CHUNK:
                     last += MAX_CHUNK
                     while data[last] & 0xC0 == 0x80:
