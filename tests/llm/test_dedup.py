@@ -230,3 +230,28 @@ def test_near_hard_cases(spark):
 def test_empty_texts_are_copies_and_repeated_rows_one(spark):
     docs = documents(spark, [(1, ""), (2, ""), (3, "!!"), (4, "!!"), (5, "one two"), (5, "one two")])
     assert sorted(r.doc_id for r in near_dedup.keep_one(spark, docs, "").collect()) == [1, 3, 5]
+
+
+def test_pairs_are_checked_by_their_shingles(spark):
+    """Texts of true similarity 0.3 to 0.4 collide often enough by chance; none of them is a pair."""
+    w = prose("stem", 30).split()
+    texts = [(k, " ".join(w[:14] + prose(f"tail{k}", 12).split())) for k in range(120)]
+    sets = [{tuple(x[i : i + 3]) for i in range(len(x) - 2)} for x in (t.split() for _, t in texts)]
+    least = near_dedup.MATCHES / near_dedup.COORDINATES
+    assert max(len(a & b) / len(a | b) for k, a in enumerate(sets) for b in sets[:k]) < least
+    assert brute_groups(texts)  # by signatures alone
+    assert near_dedup.near_groups(documents(spark, texts)).count() == 0
+    assert near_dedup.keep_one(spark, documents(spark, texts), "").count() == len(texts)
+
+
+def test_pairs_behind_a_failed_pair_are_found(spark):
+    """A text of chance collisions that is met first doesn't hide true copies behind it."""
+    stem = prose("stem", 14)
+    texts = []
+    for k in range(60):
+        tail = prose(f"tail{k}", 12).split()
+        texts += [(k, " ".join([stem, *tail])), (100 + k, " ".join([stem, *tail[:-1], "other"]))]
+    got = {r.keep_doc_id: list(r.doc_ids) for r in near_dedup.near_groups(documents(spark, texts)).collect()}
+    sig = dict(zip((d for d, _ in texts), near_dedup.signatures(*joined(pa.array([t for _, t in texts])))))
+    want = {k: [k, 100 + k] for k in range(60) if (sig[k] == sig[100 + k]).sum() >= near_dedup.MATCHES}
+    assert got == want and len(want) > 50
