@@ -11,7 +11,8 @@ so groups are the connected components of all pairs that collide often enough an
 Defined results. A null doc_id or a null text: the row belongs to no group and the stage keeps it. A text without letters or
 digits is compared byte by byte (so empty texts are copies of one another). A text with fewer words than a shingle has one
 shingle, of all its words. Rows that repeat doc_id and text are one document, of which the stage keeps one row; rows that share
-only doc_id are one node of the graph. Ties: the smallest doc_id of a group stays. Other columns pass through unread.
+only doc_id are documents of their own, so a doc_id may be in several groups. Ties: the smallest doc_id of a group stays, and of
+its texts that of the smallest hash. Other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ def checked(edges: DataFrame, have: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, keep) of every document, keep the doc_id of its group that stays, and doc_id of repeated rows."""
+    """(doc_id, row, root, keep) of every document, keep the doc_id and row of its group that stays, and doc_id of repeated rows."""
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     have = have.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     signed = written(have.mapInArrow(_sign, "doc_id bigint, row bigint, sig binary"), "signatures")
@@ -242,7 +243,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if more.head(1):
             roots = components(roots.toDF("u", "v").union(more).distinct())
     rooted = member.select("doc_id", "row", "rep").distinct().join(roots, F.col("rep") == F.col("u"), "left").select("doc_id", "row", F.coalesce("root", "rep").alias("root"))
-    grouped = rooted.select("doc_id", "row", F.min("doc_id").over(Window.partitionBy("root")).alias("keep"), "root")
+    grouped = rooted.select("doc_id", "row", "root", F.min(F.struct("doc_id", "row")).over(Window.partitionBy("root")).alias("keep"))
     again = signed.groupBy("doc_id").count().where("count > 1").select("doc_id")
     return grouped, again
 
@@ -250,15 +251,16 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row a group of two or more: keep_doc_id, doc_ids (ascending, with the kept one), n_docs."""
     grouped, _ = _groups(docs)
-    return grouped.groupBy("root").agg(F.min("keep").alias("keep_doc_id"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids")).where(F.size("doc_ids") > 1).select("keep_doc_id", "doc_ids", F.size("doc_ids").cast("bigint").alias("n_docs"))
+    return grouped.groupBy("root").agg(F.min("doc_id").alias("keep_doc_id"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids")).where(F.size("doc_ids") > 1).select("keep_doc_id", "doc_ids", F.size("doc_ids").cast("bigint").alias("n_docs"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each group."""
     grouped, again = _groups(docs)
-    gone = small(written(grouped.groupBy("doc_id").agg(F.min("keep").alias("keep")).where("doc_id <> keep").select(F.col("doc_id").alias("_gone_id")), "gone"), 16)
+    gone = small(written(grouped.where("row <> keep.row").select(F.col("row").alias("_gone_row")), "gone"), 16)
     again = written(again.select(F.col("doc_id").alias("_again_id")), "again")
-    left = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    row = F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), row_key(docs["doc_id"], docs["text"]))
+    left = docs.join(gone, row == gone["_gone_row"], "left_anti")
     if not again.head(1):
         return left
     twice = small(again, 16)

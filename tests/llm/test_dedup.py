@@ -255,3 +255,9 @@ def test_pairs_behind_a_failed_pair_are_found(spark):
     sig = dict(zip((d for d, _ in texts), near_dedup.signatures(*joined(pa.array([t for _, t in texts])))))
     want = {k: [k, 100 + k] for k in range(60) if (sig[k] == sig[100 + k]).sum() >= near_dedup.MATCHES}
     assert got == want and len(want) > 50
+
+
+def test_a_doc_id_of_two_texts_loses_neither(spark):
+    a, b = prose(31, 60), prose(32, 60)
+    docs = documents(spark, [(3, a), (5, a), (5, b), (7, b)])
+    assert by_id(near_dedup.keep_one(spark, docs, "")) == [(3, a), (5, b)]
