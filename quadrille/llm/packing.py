@@ -6,9 +6,10 @@ room left: with room g taken, the sum changes by 2 * (N(g - size) - N(g)) + 2, s
 Pieces are packed within shards of about SHARD_DOCS documents, chosen by a hash of doc_id, so packing is parallel and a shard is
 all that a task holds.
 
-Defined results. A null or empty text and a null doc_id: the row has no tokens to place or no name and gives no row. Very long
-texts are cut. Ties: the smallest gap wins; among bins of one gap, the one opened first. Rows that repeat a doc_id are packed
-each, as copies (copy = 0, 1, ..., in order of token count). Other columns are not read.
+Defined results. A null or empty text: the row has no tokens to place and gives no row. A null doc_id: the query and the stage
+pack the row like any other, with a null doc_id and a copy number that counts such rows of its shard; pack() alone does so if it
+is told to. Very long texts are cut. Ties: the smallest gap wins; among bins of one gap, the one opened first. Rows that repeat a
+doc_id are packed each, as copies (copy = 0, 1, ..., in order of token count). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,32 +61,38 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def _pack(capacity: int):
     def pack(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n_tokens"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["unnamed", "doc_id", "n_tokens"], kind="stable", ignore_index=True)
         n = pdf["n_tokens"].to_numpy(np.int64)
         pieces = -(-n // capacity)
         row = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(n[row] - piece * capacity, capacity)
-        copy = pdf.groupby("doc_id").cumcount().to_numpy()
+        copy = pdf.groupby(["unnamed", "doc_id"]).cumcount().to_numpy()
         # arrival in a fixed shuffled order: the rule is for items that come at random
         order = np.random.Generator(np.random.PCG64(len(row))).permutation(len(row))
+        ids = pd.array(pdf["doc_id"].to_numpy(np.int64), "Int64")
+        ids[pdf["unnamed"].to_numpy(bool)] = pd.NA
         b, at, _ = sum_of_squares(size[order], capacity)
         row, piece, size = row[order], piece[order], size[order]
-        return pd.DataFrame({"shard": np.int32(shard[0]), "bin": b.astype(np.int32), "bin_offset": at.astype(np.int32), "doc_id": pdf["doc_id"].to_numpy(np.int64)[row], "copy": copy[row].astype(np.int32), "piece": piece.astype(np.int32), "piece_start": piece * capacity, "n_tokens": size.astype(np.int32)})
+        return pd.DataFrame({"shard": np.int32(shard[0]), "bin": b.astype(np.int32), "bin_offset": at.astype(np.int32), "doc_id": ids[row], "copy": copy[row].astype(np.int32), "piece": piece.astype(np.int32), "piece_start": piece * capacity, "n_tokens": size.astype(np.int32)})
 
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row a piece: where it lies (shard, bin, bin_offset) and what it is (doc_id, copy, piece, piece_start, n_tokens)."""
-    sizes = written(token_counts(docs).where("doc_id IS NOT NULL AND n_tokens > 0").select("doc_id", "n_tokens"), "sizes")
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, unnamed: bool = False) -> DataFrame:
+    """One row a piece: where it lies (shard, bin, bin_offset) and what it is (doc_id, copy, piece, piece_start, n_tokens). unnamed: rows without doc_id too."""
+    sizes = token_counts(docs).where("n_tokens > 0").select("doc_id", "n_tokens")
+    sizes = written(sizes if unnamed else sizes.where("doc_id IS NOT NULL"), "sizes")
     shards = max(1, -(-sizes.count() // shard_docs))
-    return sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_pack(capacity), SCHEMA)
+    # rows without doc_id are dealt by their size, so that no shard gets them all
+    shard = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("n_tokens")).otherwise(F.xxhash64("doc_id")), F.lit(shards)).cast("int")
+    rows = sizes.withColumn("shard", shard).withColumn("unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    return rows.groupBy("shard").applyInPandas(_pack(capacity), SCHEMA)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, unnamed=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), unnamed=True)

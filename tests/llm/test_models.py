@@ -159,6 +159,18 @@ def test_pack_places_every_token(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_stage_packs_rows_without_doc_id(spark):
+    from .tables import documents, prose
+
+    big = 2**60 + 1
+    docs = documents(spark, [(None, prose(1, 40)), (None, prose(2, 900)), (0, prose(3, 40)), (big, prose(4, 40))])
+    from quadrille.llm.token_counts import token_counts
+
+    rows = packing.stage(spark, docs, "").collect()
+    assert sum(r.n_tokens for r in rows) == sum(r.n_tokens for r in token_counts(docs).collect())
+    assert {(r.doc_id, r.copy) for r in rows} == {(None, 0), (None, 1), (0, 0), (big, 0)}
+
+
 # neighbours
 def test_neighbours_recall(spark):
     table = spark.read.parquet(f"{MORE}/embeddings.parquet")
