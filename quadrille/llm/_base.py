@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from quadrille.storage import fresh_path, shared_dir, written  # noqa: F401
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 #: Rows of at most this many bytes in all may be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -41,8 +43,23 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: its memory stays with the worker
+        return None
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: Spark uses its Python workers again, and they'd stay as large as they ever were."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of at most `most` text bytes, or of one row."""
+    """Slices of the batches of at most `most` text bytes, or of one row. At the end of each batch memory is released."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -55,6 +72,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        release()
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +104,7 @@ def powers(which: int, inverse: bool, n: int) -> np.ndarray:
         x = np.full(max(n, 1 << 16), (INVERSES if inverse else BASES)[which], np.uint64)
         x[0] = 1
         have = np.multiply.accumulate(x)
-        if n <= 4 * STEP_BYTES:
+        if n <= 2 * STEP_BYTES:
             _powers[which, inverse] = have
     return have[:n]
 

@@ -16,7 +16,7 @@ import numpy as np
 
 CAP = 255
 #: Tuples that a queue holds in memory before it writes a run.
-QUEUE_TUPLES = 4_000_000
+QUEUE_TUPLES = 250_000
 #: Tuples that a range of symbols should have, and the other symbols that a suffix may go through within its range before the range
 #: is halved.
 RANGE_TUPLES = 16_384

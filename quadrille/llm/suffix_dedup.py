@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import BASES, drop_folder, filesystem, fresh_path, joined, mixed, signed, spaced_words, steps, written
+from ._base import BASES, drop_folder, filesystem, fresh_path, joined, mixed, release, signed, spaced_words, steps, written
 from ._cuts import cut, row_key
 from ._suffix_array import suffix_array
 
 WORDS = 50
 GRAM = 16
 #: Words of a suffix array; a shard with more distinct words than this is sorted in turns, each of whole anchors.
-TURN_WORDS = 4_000_000
+TURN_WORDS = 1_000_000
 
 
 def segments(words: np.ndarray, word_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,11 +200,13 @@ def _shard(folder: str):
                 go = int(np.searchsorted(key, old, side="right"))
                 if go < b.num_rows:
                     yield turn([*held, b.slice(0, go)])
+                    release()
                     held, size, b = [], 0, b.slice(go)
             held.append(b)
             size += b.column("words").nbytes
         if held:
             yield turn(held)
+        release()
 
     return shard
 
