@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.storage import fresh_path, shared_dir, written  # noqa: F401
+from quadrille.storage import drop_folder, filesystem, fresh_path, local_path, shared_dir, written  # noqa: F401
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
@@ -20,24 +20,6 @@ STEP_BYTES = 1 << 19
 BROADCAST_BYTES = 32 << 20
 
 
-def local_path(uri: str) -> str:
-    return uri[7:] if uri.startswith("file://") else uri[5:] if uri.startswith("file:") else uri
-
-
-def filesystem(uri: str):
-    """The pyarrow filesystem of a URI and the path inside it."""
-    from pyarrow import fs
-
-    if "://" not in uri or uri.startswith("file:"):
-        return fs.LocalFileSystem(), local_path(uri)
-    return fs.FileSystem.from_uri(uri)
-
-
-def drop_folder(uri: str) -> None:
-    system, path = filesystem(uri)
-    system.delete_dir(path)
-
-
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few enough; df must be cheap to count, as a written table is."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -217,14 +217,18 @@ def checked(edges: DataFrame, have: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, root, keep) of every document, keep the doc_id and row of its group that stays, and doc_id of repeated rows."""
+    """(doc_id, row, root, keep) of every document of a group of two or more, keep the doc_id and row that stays, and doc_id of repeated rows."""
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     have = have.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     signed = written(have.mapInArrow(_sign, "doc_id bigint, row bigint, sig binary"), "signatures")
-    member = signed.select("doc_id", "row", F.min(F.struct("doc_id", "row")).over(Window.partitionBy("sig"))["row"].alias("rep"), "sig")
-    member = written(member, "entries")
-    entries = member.where("row = rep").dropDuplicates(["rep"]).select("rep", "sig")
-    shared = entries.mapInArrow(_post, "rep bigint, key bigint").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # counts and minima are combined before they are shuffled, so a text that all documents share is no one's burden
+    entries = written(signed.groupBy("sig").agg(F.min(F.struct("doc_id", "row"))["row"].alias("rep"), F.count("*").alias("n")), "entries")
+    many = entries.where("n > 1").select(F.col("sig").alias("_sig"), "rep")
+    member = signed.join(small(many, 4 * COORDINATES + 16), F.col("sig") == F.col("_sig"), "left").select("doc_id", "row", F.coalesce("rep", "row").alias("rep"))
+    entries = entries.select("rep", "sig")
+    posts = entries.mapInArrow(_post, "rep bigint, key bigint")
+    counts = written(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "postings")
+    shared = posts.join(small(counts.withColumnRenamed("key", "_key"), 16), F.col("key") == F.col("_key")).select("rep", "key", "n")
     prefix = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= MATCHES).select("rep", F.expr(f"slice(keys.key, 1, size(keys) - {MATCHES - 1})").alias("keys"))
     prefix = written(prefix, "prefixes")
 
@@ -243,7 +247,9 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if more.head(1):
             roots = components(roots.toDF("u", "v").union(more).distinct())
     rooted = member.select("doc_id", "row", "rep").distinct().join(roots, F.col("rep") == F.col("u"), "left").select("doc_id", "row", F.coalesce("root", "rep").alias("root"))
-    grouped = rooted.select("doc_id", "row", "root", F.min(F.struct("doc_id", "row")).over(Window.partitionBy("root")).alias("keep"))
+    rooted = written(rooted, "rooted")
+    keep = rooted.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    grouped = rooted.join(small(written(keep, "kept"), 24), F.col("root") == F.col("_root")).select("doc_id", "row", "root", "keep")
     again = signed.groupBy("doc_id").count().where("count > 1").select("doc_id")
     return grouped, again
 
