@@ -1,8 +1,10 @@
 """Operator 10: substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of each text; a chunk ends where its low bits are zero, MIN_CHUNK bytes after the last end at
-least (MAX_CHUNK at most), so chunks find their old ends again after an insertion. Chunks are compared by a 128-bit digest over
-all documents; of equal ones the first in order of doc_id and place stays. A run of repeated chunks is cut out of a text if it
+least (MAX_CHUNK at most), so chunks find their old ends again after an insertion. Chunks whose rolling fingerprint (64 bits) occurs
+once in the corpus are left alone; the others are compared by their BLAKE2b digest (128 bits) over all documents, and of equal ones the
+first in order of doc_id and place stays. Counts and minima are combined before they are shuffled, so a chunk that every document has
+isn't one task's work. A run of repeated chunks is cut out of a text if it
 holds RUN_BYTES or more: shorter repeats are ordinary phrases.
 
 Defined results. A null text stays null, an empty one empty; a null doc_id comes after all others in the order. Rows that repeat
@@ -14,13 +16,14 @@ columns pass through; n_chars is counted again where the text changed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BYTE_VALUES, GEAR, joined, span_hashes, steps, signed, written
+from ._base import BYTE_VALUES, GEAR, joined, signed, small, span_hashes, steps, written
 from ._cuts import CUTS, cut, keep_bytes, kept, row_key
 
 MASK_BITS = 4
@@ -80,14 +83,22 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc, start, stop
 
 
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches):
+        data, offsets = joined(b.column("text"))
+        _, start, stop = chunks(data, offsets)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(span_hashes(BYTE_VALUES[0][data], start, stop)))], ["print"])
+
+
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in steps(batches):
         data, offsets = joined(b.column("text"))
         doc, start, stop = chunks(data, offsets)
         place = (start - offsets[doc]) << 24 | (stop - start)
-        digests = [signed(span_hashes(v[data], start, stop, w)) for w, v in enumerate(BYTE_VALUES)]
+        raw = memoryview(data.tobytes())
+        digest = pa.array([blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), stop.tolist())], pa.binary())
         take = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("row").take(take), pa.array(place), *map(pa.array, digests)], ["doc_id", "row", "place", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("row").take(take), pa.array(place), pa.array(signed(span_hashes(BYTE_VALUES[0][data], start, stop))), digest], ["doc_id", "row", "place", "print", "digest"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +123,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """What to keep of each text that has repeated runs (CUTS)."""
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs["doc_id"], docs["text"]).alias("row"))
-    found = have.mapInArrow(_chunk, "doc_id bigint, row bigint, place bigint, d1 bigint, d2 bigint")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place")).over(Window.partitionBy("d1", "d2"))
-    later = found.withColumn("first", first).where("NOT (row = first.row AND place = first.place)").select("row", "place")
+    prints = written(have.select("text").mapInArrow(_fingerprints, "print bigint").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select(F.col("print").alias("_print")), "fingerprints")
+    found = have.mapInArrow(_chunk, "doc_id bigint, row bigint, place bigint, print bigint, digest binary")
+    found = written(found.join(small(prints, 8), F.col("print") == F.col("_print"), "left_semi").drop("print"), "chunks")
+    first = found.groupBy(F.col("digest").alias("_digest")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1").select("_digest", F.col("first.row").alias("_row"), F.col("first.place").alias("_place")), "first-chunks")
+    later = found.join(small(first, 32), F.col("digest") == F.col("_digest")).where("NOT (row = _row AND place = _place)").select("row", "place")
     return later.groupBy("row").agg(F.collect_list("place").alias("places")).mapInArrow(_runs, CUTS)
 
 

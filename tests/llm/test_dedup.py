@@ -153,6 +153,26 @@ def test_chunk_dedup_against_brute_force(spark):
     assert dict(by_id(chunk_dedup.dedup(documents(spark, texts)))) == want
 
 
+def test_chunks_that_polynomials_confuse(spark):
+    """Two texts made so that every polynomial hash modulo 2^64 is equal on them are no copies."""
+    t = "a"
+    while len(t) < chunk_dedup.MAX_CHUNK:
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    got = dict(by_id(chunk_dedup.dedup(documents(spark, [(1, t), (2, other), (3, prose(1, 50))]))))
+    assert got[1] + got[2] == t + other or got[2] != ""
+    data, offsets = joined(pa.array([t, other]))
+    assert chunk_dedup.span_hashes(chunk_dedup.BYTE_VALUES[0][data], offsets[:-1], offsets[1:] - 1).tolist()[0] == chunk_dedup.span_hashes(chunk_dedup.BYTE_VALUES[0][data], offsets[:-1], offsets[1:] - 1).tolist()[1]
+
+
+def test_a_chunk_that_every_document_has(spark):
+    """The first document keeps a common passage, all others lose it, however many they are."""
+    common = prose("everywhere", 60)
+    texts = [(d, common + " " + prose(d, 5)) for d in range(3000)]
+    got = dict(by_id(chunk_dedup.dedup(documents(spark, texts))))
+    assert got[0] == texts[0][1] and sum(map(len, got.values())) < 0.5 * sum(len(t) for _, t in texts)
+
+
 # near copies
 def brute_groups(texts):
     sig = near_dedup.signatures(*joined(pa.array([t for _, t in texts])))
