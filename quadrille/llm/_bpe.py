@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import sys
 import unicodedata
@@ -129,7 +130,11 @@ class Vocabulary:
 
     @staticmethod
     def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return span_hashes(BYTE_VALUES[1][data], starts, ends) | np.uint64(1)
+        """63-bit hashes by which strings are compared; of long ones by BLAKE2b, as polynomials collide on some texts made for it."""
+        keys = span_hashes(BYTE_VALUES[1][data], starts, ends) | np.uint64(1)
+        for i in np.flatnonzero(ends - starts > LONG):
+            keys[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little") | 1
+        return keys
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.merges.get(_pair_keys(a, b))
