@@ -3,7 +3,9 @@
 Statistics of each text (shares of kinds of characters, word and line repetition, words that mark a label) feed shallow trees; every
 path of a tree is a conjunctive rule, a lasso logistic regression keeps few of them, and these become one Spark column expression.
 There is a head for quality and one for toxicity; a document is kept if it passes both. The models are fitted on at most SAMPLE
-labelled documents, chosen by a hash of doc_id; every document is scored.
+labelled documents, chosen by a hash of doc_id; every document is scored. The sample is dealt to three parts: words that mark a label
+are looked for in two parts and told of the third, rules and weights are fitted on two, and the threshold is set on the one that
+they haven't seen.
 
 Defined results. A null text has null scores and is rejected; an empty one is scored by its statistics, all 0. Repeated rows score
 alike; a null doc_id is scored like any other, but is never a training row. Of several labels of a document the lowest quality and
@@ -17,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import folded_words, joined, spans, span_hashes, BYTE_VALUES, signed, steps
+from ._base import BYTE_VALUES, folded_words, joined, mixed, signed, span_hashes, spans, steps
 from ._bpe import NONE, Table
 
 #: Bound of the training sample, in labelled documents.
@@ -29,7 +32,7 @@ SAMPLE = 12_000
 CLEAN_LOSS = 0.005
 TREES = 24
 DEPTH = 3
-LEXICON = 512
+PARTS = 3
 
 _GROUPS = {"upper": range(65, 91), "digit": range(48, 58), "blank": (9, 32), "line": (10, 13), "mark": b".,;:?'\"-()", "shout": b"!", "pipe": b"|", "symbol": b"#$%&*+/<=>@[\\]^_`{}~", "control": [*range(9), 11, 12, *range(14, 32), 127], "wide": range(128, 256)}
 STATISTICS = ("bytes", *(f"{g}_share" for g in _GROUPS), "words", "word_bytes", "word_variety", "line_variety", "poor_words", "toxic_words")
@@ -150,8 +153,11 @@ def grow_rules(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list:
     return list(rules)
 
 
-def fit_head(x: np.ndarray, y: np.ndarray, clean: np.ndarray, clean_is: int, lasso: float = 2e-3) -> Head:
-    """y: 0 or 1; clean: the rows of which at most CLEAN_LOSS may end on the wrong side; clean_is: their y."""
+def fit_head(x: np.ndarray, y: np.ndarray, clean: np.ndarray, clean_is: int, held: np.ndarray, lasso: float = 2e-3) -> Head:
+    """y: 0 or 1; clean: the rows of which at most CLEAN_LOSS may end on the wrong side; clean_is: their y; held: rows that only the
+    threshold sees."""
+    judged = x[held & clean]
+    x, y, clean = x[~held], y[~held], clean[~held]
     if len(y) == 0 or y.min() == y.max():
         return Head([], [], 20.0 if clean_is else -20.0, 0.5)
     rules = grow_rules(x, y, np.random.Generator(np.random.PCG64(11)))
@@ -177,7 +183,11 @@ def fit_head(x: np.ndarray, y: np.ndarray, clean: np.ndarray, clean_is: int, las
     on = np.flatnonzero(np.abs(w) > 1e-6)
     bias = float(b - mean[on] @ w[on])
     score = 1 / (1 + np.exp(-(r[:, on] @ w[on] + bias)))
-    side = score[clean] if clean.any() else np.array([0.5])
+    if len(judged):
+        seen = np.stack([holds(rules[i], judged) for i in on], 1).astype(np.float64) if len(on) else np.zeros((len(judged), 0))
+        side = 1 / (1 + np.exp(-(seen @ w[on] + bias)))
+    else:
+        side = score[clean] if clean.any() else np.array([0.5])
     if clean_is:
         threshold = min(0.5, float(np.quantile(side, CLEAN_LOSS, method="lower")))
     else:
@@ -186,7 +196,7 @@ def fit_head(x: np.ndarray, y: np.ndarray, clean: np.ndarray, clean_is: int, las
 
 
 def lexicon(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Hashes of up to LEXICON words whose presence speaks most for y = 1."""
+    """Hashes of all words whose presence speaks clearly for y = 1."""
     if y.sum() < 5 or y.sum() > len(y) - 5:
         return np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
@@ -195,8 +205,7 @@ def lexicon(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / (len(y) - y.sum() + 1))
     # the least that the odds may be, two standard errors down
     least = odds - 2 * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
-    order = np.argsort(-least, kind="stable")[:LEXICON]
-    return vocabulary[order[(least[order] > 1.6) & (50 * no[order] <= yes[order])]]
+    return vocabulary[(least > 1.6) & (50 * no <= yes)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Head, Head, np.ndarray, np.ndarray]:
@@ -221,13 +230,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Head,
     got = got.take(pa.array(order))
     x = np.stack([c.to_numpy() for c in got.column("s").combine_chunks().flatten()], 1) if got.num_rows else np.zeros((0, len(STATISTICS)))
     q, t = got.column("quality").to_numpy().astype(float), got.column("toxic").to_numpy().astype(float)
-    w = [np.asarray(a, np.int64).view(np.uint64) for a in got.column("w").combine_chunks().to_pylist()]
+    held = got.column("w").combine_chunks()
+    flat, ends = held.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(held), 0).to_numpy().astype(np.int64))))
+    w = [flat[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
     poor, toxic = lexicon(w, 1 - q), lexicon(w, t)
-    for k, words in (("poor_words", poor), ("toxic_words", toxic)):
-        # present() has distinct words, so the share is over these while the model is fitted; cuts are only at presence
-        x[:, STATISTICS.index(k)] = [np.isin(a, words).any() for a in w] if len(words) else 0
+    part = (mixed(got.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+    for k, y in (("poor_words", 1 - q), ("toxic_words", t)):
+        # whether a text has such a word is told by what the other parts have taught
+        for p in range(PARTS):
+            own, rest = np.flatnonzero(part == p), np.flatnonzero(part != p)
+            words = lexicon([w[i] for i in rest], y[rest]) if len(rest) else np.zeros(0, np.uint64)
+            x[own, STATISTICS.index(k)] = [np.isin(w[i], words).any() for i in own] if len(words) else 0
     clean = (q == 1) & (t == 0)
-    return fit_head(x, q, clean, 1), fit_head(x, t, clean, 0), poor, toxic
+    held = part == PARTS - 1
+    return fit_head(x, q, clean, 1, held), fit_head(x, t, clean, 0, held), poor, toxic
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "_quality") -> DataFrame:
