@@ -2,7 +2,8 @@
 
 Each distinct payload is stored once, as a member named by its SHA-256 digest, in a tar shard in the shared folder; a row carries
 digest, shard, offset and length. Text-like payloads are deflated (codec), others are stored as they are. Metadata columns are
-filled by range reads of at most HEADER_BYTES at a payload's offset, so payloads are never read whole again. A task writes its shard
+filled by range reads of READ_BYTES at a payload's offset and, where a header goes on, behind it: the segments of a JPEG are followed by
+their lengths, HTML is inflated until its head ends. What isn't header is not read again. A task writes its shard
 under a name of its own and moves it into place; a task run again writes the same members, so no shard is ever half written.
 
 Defined results. A null payload: all columns but the id are null. An empty payload is stored, with size 0 and kind 'empty'. Equal
@@ -28,44 +29,92 @@ from ._base import filesystem, fresh_path, small, written
 
 #: Bytes of payload that a shard should hold.
 SHARD_BYTES = 64 << 20
-HEADER_BYTES = 1024
+#: Bytes of one range read of a header; a longer header takes several.
+READ_BYTES = 1024
 META = "kind string, width int, height int, charset string, language string, title string"
 PLACE = "digest string, shard string, offset bigint, length bigint, codec string, size bigint"
 
 
-def header(raw: bytes, whole: int) -> tuple:
-    """(kind, width, height, charset, language, title) as far as the first bytes of a payload tell."""
+class Payload:
+    """The first bytes of a stored payload, read as far as they are asked for."""
+
+    def __init__(self, stream, offset: int, length: int, codec: str):
+        self.stream, self.offset, self.length = stream, offset, length
+        self.inflate = zlib.decompressobj() if codec == "deflate" else None
+        self.done, self.known = 0, bytearray()  # stored bytes that were inflated, and what came of them
+
+    def range(self, a: int, n: int) -> bytes:
+        """Bytes [a, a + n) of the payload, or as many as there are."""
+        if self.inflate is None:
+            self.stream.seek(self.offset + a)
+            return self.stream.read(max(0, min(n, self.length - a)))
+        while len(self.known) < a + n and self.done < self.length:
+            self.stream.seek(self.offset + self.done)
+            raw = self.stream.read(min(READ_BYTES, self.length - self.done))
+            self.known += self.inflate.decompress(raw)
+            self.done += len(raw)
+        return bytes(self.known[a : a + n])
+
+
+def _html(p: Payload, size: int) -> tuple:
+    n = 4 * READ_BYTES
+    while True:  # until the head has ended
+        raw = p.range(0, n)
+        end = re.search(rb"</head\s*>|<body[\s>]", raw, re.I)
+        if end or len(raw) < n or n >= size:
+            break
+        n *= 2
+    text = raw[: end.start() if end else len(raw)].decode("utf-8", "replace")
+    find = lambda p: (m := re.search(p, text, re.I | re.S)) and m[1].strip()
+    return ("html", None, None, find(r"<meta[^>]*charset=[\"']?([\w-]+)"), find(r"<html[^>]*\blang=[\"']?([\w-]+)"), find(r"<title[^>]*>(.*?)</title>"))
+
+
+def _jpeg(p: Payload) -> tuple:
+    at = 2
+    while len(raw := p.range(at, 9)) == 9 and raw[0] == 0xFF:
+        if raw[1] == 0xFF:  # fill
+            at += 1
+            continue
+        if 0xC0 <= raw[1] <= 0xCF and raw[1] not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", raw[5:9])
+            return ("jpeg", w, h, None, None, None)
+        alone = raw[1] == 0x01 or 0xD0 <= raw[1] <= 0xD8  # markers without a length
+        at += 2 if alone else 2 + struct.unpack(">H", raw[2:4])[0]
+    return ("jpeg", None, None, None, None, None)
+
+
+def header(p: Payload, size: int) -> tuple:
+    """(kind, width, height, charset, language, title) of a payload of so many bytes."""
     none = (None,) * 5
-    if whole == 0:
+    if size == 0:
         return ("empty", *none)
+    raw = p.range(0, READ_BYTES)
     if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
         return ("png", *struct.unpack(">II", raw[16:24]), None, None, None)
     if raw[:6] in (b"GIF87a", b"GIF89a") and len(raw) >= 10:
         return ("gif", *struct.unpack("<HH", raw[6:10]), None, None, None)
     if raw[:2] == b"BM" and len(raw) >= 26:
-        return ("bmp", *map(abs, struct.unpack("<ii", raw[18:26])), None, None, None)
+        old = struct.unpack("<I", raw[14:18])[0] == 12
+        return ("bmp", *(struct.unpack("<HH", raw[18:22]) if old else map(abs, struct.unpack("<ii", raw[18:26]))), None, None, None)
     if raw[:4] == b"RIFF" and len(raw) >= 12:
-        if raw[8:12] == b"WEBP" and raw[12:16] == b"VP8X" and len(raw) >= 30:
-            return ("webp", 1 + int.from_bytes(raw[24:27], "little"), 1 + int.from_bytes(raw[27:30], "little"), None, None, None)
+        if raw[8:12] == b"WEBP" and len(raw) >= 30:
+            if raw[12:16] == b"VP8X":
+                return ("webp", 1 + int.from_bytes(raw[24:27], "little"), 1 + int.from_bytes(raw[27:30], "little"), None, None, None)
+            if raw[12:16] == b"VP8 " and raw[23:26] == b"\x9d\x01\x2a":
+                return ("webp", *(x & 0x3FFF for x in struct.unpack("<HH", raw[26:30])), None, None, None)
+            if raw[12:16] == b"VP8L" and raw[20] == 0x2F:
+                bits = int.from_bytes(raw[21:25], "little")
+                return ("webp", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), None, None, None)
         return ({b"WEBP": "webp", b"WAVE": "wav"}.get(raw[8:12], "riff"), *none)
     if raw[:3] == b"\xff\xd8\xff":
-        at = 2
-        while at + 9 <= len(raw) and raw[at] == 0xFF:
-            if 0xC0 <= raw[at + 1] <= 0xCF and raw[at + 1] not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", raw[at + 5 : at + 9])
-                return ("jpeg", w, h, None, None, None)
-            at += 2 + struct.unpack(">H", raw[at + 2 : at + 4])[0]
-        return ("jpeg", *none)
+        return _jpeg(p)
     if raw[:5] == b"%PDF-":
         return ("pdf", *none)
-    text = raw.decode("utf-8", "replace")
-    if re.match(r"\s*<(!doctype html|html)", text, re.I):
-        find = lambda p: (m := re.search(p, text, re.I | re.S)) and m[1].strip()
-        return ("html", None, None, find(r"<meta[^>]*charset=[\"']?([\w-]+)"), find(r"<html[^>]*\blang=[\"']?([\w-]+)"), find(r"<title[^>]*>(.*?)</title>"))
+    if re.match(rb"(\xef\xbb\xbf)?\s*(<!--.*?-->\s*)*<(!doctype html|html|head)\b", raw, re.I | re.S):
+        return _html(p, size)
     return ("unknown", *none)
 
 
-
 def _shard(folder: str):
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = filesystem(folder)
@@ -110,13 +159,6 @@ def _shard(folder: str):
     return shard
 
 
-def first_bytes(stream, offset: int, length: int, codec: str, n: int = HEADER_BYTES) -> bytes:
-    """The first bytes of a payload by one range read."""
-    stream.seek(offset)
-    raw = stream.read(min(length, n))
-    return zlib.decompressobj().decompress(raw, 4 * n) if codec == "deflate" else raw
-
-
 def payload_at(shard: str, offset: int, length: int, codec: str) -> bytes:
     """A whole payload, by its row's columns."""
     system, path = filesystem(shard)
@@ -136,7 +178,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     stream.close()
                 system, path = filesystem(s)
                 stream, shard = system.open_input_file(path), s
-            found.append(header(first_bytes(stream, o, n, codec), size))
+            found.append(header(Payload(stream, o, n, codec), size))
         columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()))]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), *columns], [*b.schema.names, "kind", "width", "height", "charset", "language", "title"])
     if stream is not None:
