@@ -1,15 +1,16 @@
 """Operator 9: best-fit packing by the sum of squares.
 
-Documents are counted in BPE tokens and cut into pieces of at most CAPACITY tokens (only a longer document is cut). A piece goes
+Documents are encoded in BPE tokens and cut into pieces of at most CAPACITY tokens (only a longer document is cut). A piece goes
 into the open bin, or the new one, after which the sum of N(gap)^2 is smallest, where N(gap) counts the open bins with that
 room left: with room g taken, the sum changes by 2 * (N(g - size) - N(g)) + 2, so the choice needs one pass over the gaps.
-Pieces are packed within shards of about SHARD_DOCS documents, chosen by a hash of doc_id, so packing is parallel and a shard is
-all that a task holds.
-
-Defined results. A null or empty text: the row has no tokens to place and gives no row. A null doc_id: the query and the stage
-pack the row like any other, with a null doc_id and a copy number that counts such rows of its shard; pack() alone does so if it
-is told to. Very long texts are cut. Ties: the smallest gap wins; among bins of one gap, the one opened first. Rows that repeat a
-doc_id are packed each, as copies (copy = 0, 1, ..., in order of token count). Other columns are not read.
+Pieces are packed within shards of about SHARD_BYTES of text, dealt by a hash of doc_id, so packing is parallel and a shard is
+all that a task holds. A bin is one training sequence: its token ids, and of each piece in it the document and where it begins.
+
+Defined results, of the query and the stage. A null or empty text: the row has no tokens to place and is in no bin. A null doc_id: the
+row is packed like any other, with a null in doc_ids and a copy number that counts such rows of its shard; pack() alone does so if it
+is told to. Very long texts are cut into pieces. Ties: the smallest gap wins; among bins of one gap, the one opened first. Rows that
+repeat a doc_id are packed each, as copies (copy = 0, 1, ..., in order of token count). An empty table gives no row. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import written
-from .token_counts import token_counts
+from ._base import release
+from .byte_bpe import encode
 
 CAPACITY = 2048
-SHARD_DOCS = 100_000
+#: Text that the documents of a shard should have, in bytes.
+SHARD_BYTES = 24 << 20
 
-SCHEMA = "shard int, bin int, bin_offset int, doc_id bigint, copy int, piece int, piece_start bigint, n_tokens int"
+#: A sequence. Piece i of it, number pieces[i] of copy copies[i] of document doc_ids[i], begins at starts[i].
+SCHEMA = "shard int, bin int, n_tokens int, doc_ids array<bigint>, copies array<int>, pieces array<int>, starts array<int>, tokens array<int>"
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,39 +63,63 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def _pack(capacity: int):
-    def pack(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["unnamed", "doc_id", "n_tokens"], kind="stable", ignore_index=True)
-        n = pdf["n_tokens"].to_numpy(np.int64)
-        pieces = -(-n // capacity)
-        row = np.repeat(np.arange(len(n)), pieces)
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, null = table.column("doc_id").fill_null(0).to_numpy(), table.column("doc_id").is_null().to_numpy()
+        tokens = table.column("tokens").combine_chunks()
+        begin, n = tokens.offsets.to_numpy()[:-1].astype(np.int64), np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+        flat = tokens.values.to_numpy()
+        rows = np.lexsort((n, ids, null))
+        new = np.concatenate(([True], (ids[rows][1:] != ids[rows][:-1]) | (null[rows][1:] != null[rows][:-1])))
+        at = np.arange(len(rows))
+        copy = np.empty(len(rows), np.int64)
+        copy[rows] = at - np.maximum.accumulate(np.where(new, at, 0))
+        pieces = -(-n[rows] // capacity)
+        row = np.repeat(rows, pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(n[row] - piece * capacity, capacity)
-        copy = pdf.groupby(["unnamed", "doc_id"]).cumcount().to_numpy()
         # arrival in a fixed shuffled order: the rule is for items that come at random
         order = np.random.Generator(np.random.PCG64(len(row))).permutation(len(row))
-        ids = pd.array(pdf["doc_id"].to_numpy(np.int64), "Int64")
-        ids[pdf["unnamed"].to_numpy(bool)] = pd.NA
-        b, at, _ = sum_of_squares(size[order], capacity)
         row, piece, size = row[order], piece[order], size[order]
-        return pd.DataFrame({"shard": np.int32(shard[0]), "bin": b.astype(np.int32), "bin_offset": at.astype(np.int32), "doc_id": ids[row], "copy": copy[row].astype(np.int32), "piece": piece.astype(np.int32), "piece_start": piece * capacity, "n_tokens": size.astype(np.int32)})
+        b, start, room = sum_of_squares(size, capacity)
+        o = np.lexsort((start, b))
+        row, piece, size, b, start = row[o], piece[o], size[o], b[o], start[o]
+        first = begin[row] + piece * capacity
+        whole = np.concatenate([flat[x:y] for x, y in zip(first.tolist(), (first + size).tolist())] or [flat[:0]])
+        ends = np.searchsorted(b, np.arange(len(room) + 1)).astype(np.int32)
+        of = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
+        cut = np.concatenate(([0], np.cumsum(capacity - room))).astype(np.int32)
+        out = [pa.array(np.full(len(room), key[0].as_py(), np.int32)), pa.array(np.arange(len(room), dtype=np.int32)), pa.array((capacity - room).astype(np.int32)), of(pa.array(ids[row], mask=null[row])), *(of(pa.array(x.astype(np.int32))) for x in (copy[row], piece, start)), pa.ListArray.from_arrays(pa.array(cut), pa.array(whole.astype(np.int32)))]
+        release()
+        return pa.table(out, names=["shard", "bin", "n_tokens", "doc_ids", "copies", "pieces", "starts", "tokens"])
 
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, unnamed: bool = False) -> DataFrame:
+def sequences(docs: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row a bin (SCHEMA): a training sequence of at most `capacity` tokens."""
+    have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    shards = max(1, -(-(have.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    encoded = encode(have).select("doc_id", "tokens")
+    # rows without doc_id are dealt by their tokens, so that no shard gets them all
+    shard = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("tokens")).otherwise(F.xxhash64("doc_id")), F.lit(shards)).cast("int")
+    # so many partitions, told by number: they are not merged into fewer
+    return encoded.withColumn("shard", shard).repartition(shards, "shard").groupBy("shard").applyInArrow(_pack(capacity), SCHEMA)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD_BYTES, unnamed: bool = False) -> DataFrame:
     """One row a piece: where it lies (shard, bin, bin_offset) and what it is (doc_id, copy, piece, piece_start, n_tokens). unnamed: rows without doc_id too."""
-    sizes = token_counts(docs).where("n_tokens > 0").select("doc_id", "n_tokens")
-    sizes = written(sizes if unnamed else sizes.where("doc_id IS NOT NULL"), "sizes")
-    shards = max(1, -(-sizes.count() // shard_docs))
-    # rows without doc_id are dealt by their size, so that no shard gets them all
-    shard = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("n_tokens")).otherwise(F.xxhash64("doc_id")), F.lit(shards)).cast("int")
-    rows = sizes.withColumn("shard", shard).withColumn("unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    return rows.groupBy("shard").applyInPandas(_pack(capacity), SCHEMA)
+    docs = docs if unnamed else docs.where("doc_id IS NOT NULL")
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("n_tokens"))
+    rows = sequences(docs, capacity, shard_bytes).select("shard", "bin", F.explode(F.arrays_zip("doc_ids", "copies", "pieces", "starts", ends.alias("ends"))).alias("p"))
+    return rows.select("shard", "bin", F.col("p.starts").alias("bin_offset"), F.col("p.doc_ids").alias("doc_id"), F.col("p.copies").alias("copy"), F.col("p.pieces").alias("piece"), (F.col("p.pieces").cast("bigint") * capacity).alias("piece_start"), (F.col("p.ends") - F.col("p.starts")).alias("n_tokens"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, unnamed=True)
+    """docs as training sequences; defined results as above."""
+    return sequences(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), unnamed=True)
+    """All documents as training sequences."""
+    return sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))

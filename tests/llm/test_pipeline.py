@@ -4,7 +4,7 @@ import pathlib
 import corpus_pipeline
 from quadrille.llm import near_dedup, packing, quality, suffix_dedup
 
-from .tables import documents, prose
+from .tables import documents, empty, hard, prose
 
 FOLDER = "/root/testdata/sf0.01"
 ROOT = pathlib.Path(corpus_pipeline.__file__).parent
@@ -23,8 +23,20 @@ def test_stages_in_order(spark):
     assert near_dedup.near_groups(docs).count() <= 3  # near copies are gone
     packed = packing.stage(spark, docs, FOLDER)
     run = corpus_pipeline.run(spark, FOLDER)
-    key = lambda df: sorted((r.doc_id, r.piece, r.n_tokens) for r in df.collect())
+    key = lambda df: sorted((r.shard, r.bin, r.doc_ids, r.pieces, r.tokens) for r in df.collect())
     assert key(run) == key(packed)
+    assert {d for r in run.select("doc_ids").collect() for d in r.doc_ids} <= {r.doc_id for r in docs.collect()}
+
+
+def test_run_on_hard_cases(spark, tmp_path):
+    """Nulls, empty and very long texts, copies, clashing names, and a table without rows."""
+    hard(spark).write.parquet(str(tmp_path / "hard/documents.parquet"))
+    empty(spark).write.parquet(str(tmp_path / "empty/documents.parquet"))
+    for f in ("hard", "empty"):  # no labels: nothing but null texts is rejected
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / f / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    ids = {d for r in corpus_pipeline.run(spark, str(tmp_path / "hard")).collect() for d in r.doc_ids}
+    assert {None, 1, 7, 8, 10, 11, 12, 13, 14, 15, 16} <= ids and not ids & {2, 3, 4, 5}  # 2 and 3 are copies, 4 is null, 5 empty
 
 
 def test_nothing_else_imports_the_subpackage():
