@@ -66,6 +66,28 @@ def test_column_equals_rules(spark, labelled):
     assert np.allclose([r.p for r in got], 1 / (1 + np.exp(-total)))
 
 
+def test_quality_query_against_brute_force(spark):
+    """Scores and decisions of every document, worked out one by one from the fitted rules."""
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"{MORE}/{t}.parquet") for t in ("documents", "labels"))
+    heads = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = quality.query(spark, MORE).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        if texts[r.doc_id] is None:
+            assert not r.keep
+            continue
+        x = quality.measure(pa.array([texts[r.doc_id]]), *heads[2:])
+        for k in ("poor_words", "toxic_words"):
+            i = quality.STATISTICS.index(k)
+            x[:, i] = x[:, i] > 0
+        score = [1 / (1 + np.exp(-(h.bias + sum(w * quality.holds(rule, x)[0] for rule, w in zip(h.rules, h.weights))))) for h in heads[:2]]
+        assert np.allclose(score, [r.quality_score, r.toxic_score], atol=1e-9)
+        assert r.keep == (r.quality_score >= heads[0].threshold and r.toxic_score < heads[1].threshold)
+
+
 # URLs
 def test_url_filter_against_sql(spark):
     con = duckdb.connect()
@@ -86,6 +108,21 @@ def test_url_filter_learns_beyond_the_list(spark):
     assert len(url_filter.url_scores(spark.createDataFrame(rows, "page_id bigint, url string")).collect()) == len(rows)
 
 
+@pytest.mark.parametrize("folder", [MORE, "/root/testdata/sf0.1"])
+def test_url_filter_spares_clean_hosts(folder):
+    """What isn't listed stays, but for few; what is listed goes, and most of it by its score alone."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    seeds, lost, kept, clean = con.execute(f"SELECT count(*) FILTER (is_seed), count(*) FILTER (NOT is_seed AND NOT keep), count(*) FILTER (is_seed AND keep), count(*) FILTER (NOT is_seed) FROM ({url_filter.ORACLE}) WHERE url IS NOT NULL").fetchone()
+    assert seeds > 0 and kept == 0 and lost <= 0.02 * clean
+
+
+def test_terms_are_whole_parts_of_hosts(spark):
+    rows = [(1, "http://alphabets.example.org/x"), (2, "http://free-bets.example.org/x"), (3, "http://bets4u.example.org/")]
+    got = {r.page_id: r.is_seed for r in url_filter.url_scores(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert got == {1: False, 2: True, 3: True}
+
+
 def test_url_filter_without_rejects(spark):
     rows = [(1, "http://a.example/"), (2, None)]
     got = {r.page_id: (r.score_micro, r.keep) for r in url_filter.url_scores(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
@@ -168,7 +205,39 @@ def test_stage_packs_rows_without_doc_id(spark):
 
     rows = packing.stage(spark, docs, "").collect()
     assert sum(r.n_tokens for r in rows) == sum(r.n_tokens for r in token_counts(docs).collect())
-    assert {(r.doc_id, r.copy) for r in rows} == {(None, 0), (None, 1), (0, 0), (big, 0)}
+    assert {x for r in rows for x in zip(r.doc_ids, r.copies)} == {(None, 0), (None, 1), (0, 0), (big, 0)}
+
+
+def test_sequences_hold_the_tokens(spark):
+    """Put together from their pieces, the documents' tokens spell their texts again."""
+    from quadrille.llm._bpe import vocabulary
+
+    v, parts = vocabulary(), {}
+    rows = packing.sequences(hard(spark), 128).collect()
+    for r in rows:
+        assert len(r.tokens) == r.n_tokens <= 128 and r.starts[0] == 0
+        for d, c, p, a, z in zip(r.doc_ids, r.copies, r.pieces, r.starts, [*r.starts[1:], r.n_tokens]):
+            parts.setdefault((d, c), {})[p] = r.tokens[a:z]
+    texts = [(d, b"".join(v.tokens[t] for k in sorted(p) for t in p[k]).decode()) for (d, _), p in parts.items()]
+    assert sorted(texts, key=repr) == sorted(((d, t) for d, t in HARD if t), key=repr)
+    assert packing.sequences(empty(spark)).count() == 0
+
+
+def test_packing_query_against_brute_force(spark):
+    """Shard by shard the bins are those of the slow rule, and each holds the tokens that are counted."""
+    from quadrille.llm.token_counts import query as counted
+
+    rows = packing.query(spark, FOLDER).collect()
+    want, got, shards = {r.doc_id: r.n_tokens for r in counted(spark, FOLDER).collect() if r.n_tokens}, {}, {}
+    for r in rows:
+        for d, a, z in zip(r.doc_ids, r.starts, [*r.starts[1:], r.n_tokens]):
+            got[d] = got.get(d, 0) + z - a
+        shards.setdefault(r.shard, []).append(r)
+    assert got == want
+    for own in shards.values():
+        pieces = sorted((d, p, z - a) for r in own for d, p, a, z in zip(r.doc_ids, r.pieces, r.starts, [*r.starts[1:], r.n_tokens]))
+        order = np.random.Generator(np.random.PCG64(len(pieces))).permutation(len(pieces))
+        assert sorted(r.n_tokens for r in own) == slow_pack([pieces[i][2] for i in order], packing.CAPACITY)
 
 
 # neighbours
@@ -201,12 +270,69 @@ def test_neighbours_hard_cases(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (None, [1.0, 1.0]), (5, [1.0]), (6, [float("nan"), 0.0]), (7, [5.0, 5.0]), (8, [None, 1.0])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("leaf", F.lit(1))
     got = {r.vec_id: list(r.neighbour_ids) for r in ann.neighbours(table, k=2).collect()}
-    assert got == {1: [2, 3], 2: [3, 1], 3: [2, 1], 7: [2, 3]}
+    assert got == {1: [2, 3], 2: [3, 1], 3: [2, 1], 7: [2, 3], 5: []}  # 5 is the only one of its length
     assert ann.neighbours(table.where("vec_id = 4")).count() == 0
     assert {r.vec_id: list(r.neighbour_ids) for r in ann.neighbours(table.where("vec_id = 1")).collect()} in ({}, {1: []})
 
 
+def test_neighbours_of_two_lengths_and_infinities(spark):
+    """Vectors find those of their own length, few or many; the query is exact where a leaf holds all."""
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(700)] + [(1000 + i, r.normal(size=2).tolist()) for i in range(40)] + [(2000, [float("inf"), 0.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {x.vec_id: list(x.neighbour_ids) for x in ann.neighbours(table, k=3).collect()}
+    assert set(got) == set(range(700)) | set(range(1000, 1040))
+    hit = 0
+    for low, high in ((0, 700), (1000, 1040)):
+        ids = np.arange(low, high)
+        x = np.array([v for i, v in rows if low <= i < high], np.float32).astype(float)
+        d = ((x[:, None] - x) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        best = ids[np.argsort(d, 1)[:, :3]]
+        found = [len(set(best[k]) & set(got[i])) for k, i in enumerate(ids)]
+        hit += sum(found)
+        assert low == 0 or min(found) == 3
+    assert hit >= 0.9 * 3 * 740
+
+
 # media
+def jpeg(exif: int) -> bytes:
+    import struct
+
+    segment = b"\xff\xe1" + struct.pack(">H", exif + 2) + b"E" * exif
+    return b"\xff\xd8" + segment + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 480, 640, 3) + b"\0" * 900
+
+
+def test_long_headers_are_followed(spark):
+    import os as _os
+    import struct
+
+    html = b"<!doctype html><html lang=en><head>" + b"".join(b'<link rel="x" href="/%d/%s">' % (i, hashlib.md5(b"%d" % i).hexdigest().encode()) for i in range(400)) + b"<title>Late</title></head><body><title>no</title>"
+    lossy = b"RIFF" + struct.pack("<I", 100) + b"WEBPVP8 " + struct.pack("<I", 80) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 320, 200) + _os.urandom(60)
+    plain = b"RIFF" + struct.pack("<I", 100) + b"WEBPVP8L" + struct.pack("<I", 80) + b"\x2f" + struct.pack("<I", (319) | (199 << 14)) + _os.urandom(60)
+    noisy = jpeg(60_000).replace(b"E" * 60_000, _os.urandom(60_000))
+    rows = [(1, jpeg(6000)), (2, html), (3, lossy), (4, plain), (5, noisy), (6, jpeg(6000)[:3000])]
+    table = spark.createDataFrame([(i, bytearray(p)) for i, p in rows], "id bigint, body binary")
+    got = {r.id: r for r in media.store(table, "id", "body").collect()}
+    assert [(got[i].kind, got[i].width, got[i].height) for i in (1, 3, 4, 5, 6)] == [("jpeg", 640, 480), ("webp", 320, 200), ("webp", 320, 200), ("jpeg", 640, 480), ("jpeg", None, None)]
+    assert (got[2].title, got[2].language) == ("Late", "en") and got[1].codec == "deflate" and got[5].codec == "raw"
+
+
+def test_media_query_against_brute_force(spark):
+    """Every page's html comes back from where its row says, and its columns are those of the html."""
+    import re
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    rows = media.query(spark, FOLDER).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:
+        html = pages[r.page_id]
+        assert media.payload_at(r.shard, r.offset, r.length, r.codec) == html.encode() and r.size == len(html.encode())
+        head = re.split(r"</head\s*>|<body[\s>]", html, maxsplit=1)[0]
+        title = re.search(r"<title[^>]*>(.*?)</title>", head, re.S)
+        assert r.digest == hashlib.sha256(html.encode()).hexdigest() and r.title == (title and title[1].strip())
+
+
 def test_media_columns(spark):
     import struct
 
