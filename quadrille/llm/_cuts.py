@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ._base import BROADCAST_BYTES
 
 #: Spans to keep of one row's text, in bytes; row is row_key() of its doc_id and text.
-CUTS = "row bigint, keep array<struct<a:int,b:int>>, n_cut bigint"
+CUTS = "row bigint, doc_id bigint, keep array<struct<a:int,b:int>>, n_cut bigint"
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -29,15 +29,16 @@ def kept(removed: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 
 def cut(docs: DataFrame, side: DataFrame, item: str, new: Callable[[Column, Column], Column]) -> DataFrame:
-    """docs with new(text, item) as text in the rows that side (a written table: row, item) names; n_chars, where there is such a
+    """docs with new(text, item) as text in the rows that side (a written table: row, doc_id, item) names; n_chars, where there is such a
     column, is counted again for those rows."""
     key = "_row"
     while any(c.lower().startswith(key) for c in docs.columns):
         key += "_"
     rows, items = side.agg(F.count("*"), F.sum(F.size(item))).first()
-    side = side.select(F.col("row").alias(key), F.col(item).alias(key + "_item"))
-    side = F.broadcast(side) if 64 * rows + 16 * (items or 0) <= BROADCAST_BYTES else side.hint("shuffle_hash")
-    both = docs.withColumn(key, row_key(docs["doc_id"], docs["text"])).join(side, key, "left")
+    side = side.select(F.col("row").alias(key + "_row"), F.col("doc_id").alias(key + "_id"), F.col(item).alias(key + "_item"))
+    side = F.broadcast(side) if 96 * rows + 40 * (items or 0) <= BROADCAST_BYTES else side.hint("shuffle_hash")
+    # by doc_id and 64 bits of both: texts of other documents can't be taken for this one
+    both = docs.join(side, (row_key(docs["doc_id"], docs["text"]) == F.col(key + "_row")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col(key + "_id")), "left")
     what = F.col(key + "_item")
     both = both.withColumn(key + "_new", new(F.when(what.isNotNull(), F.col("text").cast("string")), what))
     changed = F.col(key + "_new")

@@ -103,8 +103,8 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, keeps, n_cut = [], [], []
-        for row, places in zip(b.column("row").to_pylist(), b.column("places").to_pylist()):
+        rows, ids, keeps, n_cut = [], [], [], []
+        for row, doc_id, places in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "places"))):
             runs: list[list[int]] = []
             for p in sorted(set(places)):
                 a, z = p >> 24, (p >> 24) + (p & 0xFFFFFF)
@@ -115,9 +115,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = [r for r in runs if r[1] - r[0] >= RUN_BYTES]
             if runs:
                 rows.append(row)
+                ids.append(doc_id)
                 keeps.append(kept(runs))
                 n_cut.append(sum(z - a for a, z in runs))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keeps, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(n_cut, pa.int64())], ["row", "keep", "n_cut"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(keeps, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(n_cut, pa.int64())], ["row", "doc_id", "keep", "n_cut"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -127,9 +128,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = have.mapInArrow(_chunk, "doc_id bigint, row bigint, place bigint, print bigint, digest binary")
     found = written(found.join(small(prints, 8), F.col("print") == F.col("_print"), "left_semi").drop("print"), "chunks")
     first = found.groupBy(F.col("digest").alias("_digest")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
-    first = written(first.where("n > 1").select("_digest", F.col("first.row").alias("_row"), F.col("first.place").alias("_place")), "first-chunks")
-    later = found.join(small(first, 32), F.col("digest") == F.col("_digest")).where("NOT (row = _row AND place = _place)").select("row", "place")
-    return later.groupBy("row").agg(F.collect_list("place").alias("places")).mapInArrow(_runs, CUTS)
+    first = written(first.where("n > 1").select("_digest", F.col("first.row").alias("_row"), F.col("first.doc_id").alias("_id"), F.col("first.place").alias("_place")), "first-chunks")
+    later = found.join(small(first, 32), F.col("digest") == F.col("_digest")).where("NOT (row = _row AND place = _place AND doc_id <=> _id)").select("row", "doc_id", "place")
+    return later.groupBy("row", "doc_id").agg(F.collect_list("place").alias("places")).mapInArrow(_runs, CUTS)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

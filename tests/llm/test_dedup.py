@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from pyarrow import fs
 
+from quadrille.llm import _external as external
 from quadrille.llm import _suffix_array as arrays
 from quadrille.llm import chunk_dedup, near_dedup, suffix_dedup
-from quadrille.llm._base import joined
+from quadrille.llm._base import joined, local_path
 
 from .tables import HARD, PASSAGE, documents, empty, hard, prose
 
@@ -95,11 +96,45 @@ def test_passages_of_hard_cases(spark):
     assert out.columns == hard(spark).columns and out.where("doc_id = 11 AND n_chars <> length(text)").count() == 0
 
 
-def test_turns_keep_anchors_together(spark, monkeypatch):
-    """A shard that is sorted in turns finds the same."""
+def test_shards_larger_than_memory(spark):
+    """A shard of which a step may hold few rows finds the same, and leaves no files."""
     texts = [(d, prose(d, 30) + " " + prose(f"p{d % 7}", 80)) for d in range(40)]
     whole = by_id(suffix_dedup.dedup(documents(spark, texts)))
     assert sum(len(t.split()) for _, t in whole) == 40 * 30 + 7 * 80
+    spans, folder = suffix_dedup.repeats(documents(spark, texts), most=50)
+    assert spans.count() == 33 and os.listdir(local_path(folder)) == []
+    assert by_id(suffix_dedup.dedup(documents(spark, texts), most=50)) == whole
+
+
+def test_one_passage_in_every_document(spark):
+    """Thousands of holders of one segment: the first keeps it."""
+    passage = prose("hot", 60)
+    texts = [(d, passage if d % 2 else f"{prose(d, 3)} {passage}") for d in range(2000)]
+    got = dict(by_id(suffix_dedup.dedup(documents(spark, texts), most=400)))
+    assert {d: t.split() for d, t in got.items()} == dict(without_windows(texts, suffix_dedup.WORDS)) and got[0] == texts[0][1]
+
+
+def test_queues_go_to_disk(tmp_path, monkeypatch):
+    """A string of fifteen times what a step may hold: queues spill, and the order is right."""
+    spills = []
+    spill = arrays.RangeQueue.spill
+    monkeypatch.setattr(arrays.RangeQueue, "spill", lambda self: (spills.append(self.size), spill(self)))
+    monkeypatch.setattr(arrays, "RANGE_TUPLES", 512)
+    r = np.random.default_rng(7)
+    part = r.integers(1, 2**33, 20_000)
+    t = np.concatenate([part, r.integers(1, 2**33, 20_000), part, [0]])
+    scratch = external.Scratch(fs.LocalFileSystem(), str(tmp_path), 4096)
+    text = external.Rows(scratch, 1)
+    text.add(t[:, None])
+    got = np.concatenate(list(arrays.suffixes(text, 2**33, scratch)))
+    order, lcp = got[:, 0], got[:, 1]
+    assert sorted(order) == list(range(len(t))) and len(spills) > 10 and max(spills) <= 4096 and scratch.written > 100 * len(t)
+    a, b, h = order[:-1], order[1:], lcp[1:]
+    sure = h < arrays.CAP
+    assert (t[a[sure] + h[sure]] < t[b[sure] + h[sure]]).all()
+    for x, y, n in list(zip(a, b, h))[::50]:
+        assert (t[x : x + n] == t[y : y + n]).all()
+    assert (~sure).sum() == 20_000 - arrays.CAP + 1 and os.listdir(tmp_path) == []
 
 
 # chunks
