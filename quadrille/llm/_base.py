@@ -18,11 +18,14 @@ from quadrille.storage import drop_folder, filesystem, fresh_path, local_path, s
 STEP_BYTES = 1 << 19
 #: Rows of at most this many bytes in all may be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
+#: What a row takes in a broadcast hash table beside its values.
+ROW_BYTES = 32
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few enough; df must be cheap to count, as a written table is."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """df with a broadcast hint if its counted rows, of so many bytes and what a hash table adds, are few enough; df must be cheap to
+    count, as a written table is."""
+    return F.broadcast(df) if df.count() * (row_bytes + ROW_BYTES) <= BROADCAST_BYTES else df
 
 
 @functools.cache
