@@ -3,12 +3,15 @@
 The tree is laid out on a sample and its centroids are then moved by PASSES passes over all vectors. A query keeps a queue of nodes
 by distance and opens the nearest first, so leaves come in the order in which they promise most. How many leaves a query visits is
 calibrated: for CALIBRATION queries the true neighbours are found by brute force over all vectors, and visits widen until RECALL of
-them are reached. Every vector is a query; each goes to its leaves by one shuffle, and the leaves' answers are merged.
+them are reached. Every vector is a query. Leaves lie in groups of GROUP, neighbours in the tree side by side; a query goes once to each
+group in which it visits a leaf, by one shuffle, and the groups' answers are merged. A task holds the vectors of one group and lets the
+queries stream by.
 
-The tree is broadcast: at most MAX_LEAVES leaves, whatever the table's size; beyond LEAF_ROWS * MAX_LEAVES vectors leaves grow.
+The tree is laid out on LAYOUT vectors, or four a leaf, and broadcast: at most MAX_LEAVES leaves, whatever the table's size; beyond
+LEAF_ROWS * MAX_LEAVES vectors leaves grow.
 
-Defined results. Rows without vec_id or embedding, with nulls or NaNs in it, or of another length than most have no result and are
-nobody's neighbour. Rows that repeat a vec_id are one vector, the least. Equal distances: the smaller vec_id comes first. Tables with
+Defined results. Rows without vec_id or embedding, or with nulls, NaNs or infinities in it, have no result and are nobody's neighbour.
+Vectors are compared with those of their own length; lengths with few vectors are searched whole. Rows that repeat a vec_id are one vector, the least. Equal distances: the smaller vec_id comes first. Tables with
 fewer than k + 1 vectors give shorter lists; an empty one gives no row. Other columns are not read.
 """
 
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 from ._base import written
 
 K = 10
-RECALL = 0.97
+RECALL = 0.94
 BRANCH = 16
 LEAF_ROWS = 256
 MAX_LEAVES = 65_536
 LAYOUT = 32_768
 CALIBRATION = 256
 PASSES = 3
+GROUP = 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -86,6 +90,24 @@ class Tree:
             out[rows] = node
         return out
 
+    def all_visits(self, x: np.ndarray, most: int) -> list[list[int]]:
+        """visits() of each row of x; in a tree of few nodes all distances are worked out at once."""
+        n = len(self.centroids)
+        if n > 4096:
+            return [self.visits(q, most) for q in x]
+        out, children = [], self.children.tolist()
+        for distances in _distances(x, self.centroids).tolist():
+            queue, found = [(0.0, 0)], []
+            while queue and len(found) < most:
+                _, node = heapq.heappop(queue)
+                a, z = children[node]
+                if z == 0:
+                    found.append(node)
+                for child in range(a, z):
+                    heapq.heappush(queue, (distances[child], child))
+            out.append(found)
+        return out
+
     def visits(self, q: np.ndarray, most: int) -> list[int]:
         """Leaves in best-bin-first order."""
         queue, out = [(0.0, 0)], []
@@ -157,55 +179,126 @@ def calibrated(vectors: DataFrame, tree: Tree, k: int, recall: float) -> int:
     return 1 + sorted(places)[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)] if places else 1
 
 
-def neighbours(table: DataFrame, k: int = K, recall: float = RECALL) -> DataFrame:
-    """vec_id, and of its k nearest others neighbour_ids and distances (Euclidean), nearest first."""
-    empty = "vec_id bigint, neighbour_ids array<bigint>, distances array<double>"
-    rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")
-    vectors = written(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    lengths = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head(1)
-    if not lengths:
-        return table.sparkSession.createDataFrame([], empty)
-    d, n = lengths[0]
-    vectors = vectors.where(F.size("v") == d)
-    layout = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LAYOUT).select("v").toArrow().combine_chunks()
-    tree = Tree(_matrix(layout.column("v").combine_chunks()), min(MAX_LEAVES, -(-n // LEAF_ROWS)))
+def nearest(qs: np.ndarray, asking: np.ndarray, x: np.ndarray, of: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many neighbours each query has among x (k at most), and all of them: their ids and squared distances. seen: what each query may see."""
+    dist = _distances(qs, x)
+    dist[asking[:, None] == of] = np.inf
+    if seen is not None:
+        dist[~seen] = np.inf
+    if len(of) > k:
+        near = np.argpartition(dist, k - 1, axis=1)[:, :k]
+        # of equally distant ones at the edge the smaller ids
+        edge = np.take_along_axis(dist, near, 1).max(1)
+        for i in np.flatnonzero(((dist == edge[:, None]).sum(1) > 1) & np.isfinite(edge)):
+            tied = np.flatnonzero(dist[i] <= edge[i])
+            near[i] = tied[np.lexsort((of[tied], dist[i, tied]))[:k]]
+    else:
+        near = np.broadcast_to(np.arange(len(of)), dist.shape)
+    d = np.take_along_axis(dist, near, 1)
+    ok = np.isfinite(d)
+    return ok.sum(1), of[near][ok], d[ok]
+
+
+def _answers(asking: np.ndarray, count: np.ndarray, ids: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(asking), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(d))], ["vec_id", "n", "d"])
+
+
+ANSWERS = "vec_id bigint, n array<bigint>, d array<double>"
+
+
+def _whole(k: int):
+    def whole(table: pa.Table) -> pa.Table:
+        """All vectors of one length against each other."""
+        table = table.combine_chunks()
+        x, of = _matrix(table.column("v").combine_chunks()).astype(np.float64), table.column("vec_id").to_numpy()
+        parts = [_answers(of[a : a + 256], *nearest(x[a : a + 256], of[a : a + 256], x, of, k)) for a in range(0, len(of), 256)]
+        return pa.Table.from_batches(parts)
+
+    return whole
+
+
+def _searched(vectors: DataFrame, d: int, n: int, k: int, recall: float) -> DataFrame:
+    """ANSWERS of all vectors of one length, in parts."""
+    leaves = min(MAX_LEAVES, -(-n // LEAF_ROWS))
+    layout = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(LAYOUT, 4 * leaves)).select("v").toArrow().combine_chunks()
+    tree = Tree(_matrix(layout.column("v").combine_chunks()), leaves)
     for _ in range(PASSES):
         tree = _moved(vectors, tree, d)
     most = calibrated(vectors, tree, k, recall)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.leaf(_matrix(b.column("v")))), b.column("vec_id"), b.column("v")], ["leaf", "vec_id", "v"])
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # leaves in the order of a walk through the tree, so that near ones share a group
+    walk, todo = [], [0]
+    while todo:
+        node = todo.pop()
+        a, z = tree.children[node]
+        if z:
+            todo.extend(range(z - 1, a - 1, -1))
+        else:
+            walk.append(node)
+    group_of = np.zeros(len(tree.centroids), np.int64)
+    group_of[walk] = np.arange(len(walk)) // GROUP
+    kind = "part bigint, asks boolean, vec_id bigint, v array<float>, leaves array<bigint>"
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector as one of its leaf, and as a query of the groups in which it visits leaves."""
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                leaves = [tree.visits(q, most) for q in _matrix(b.column("v"))]
-                row = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves).astype(np.int64)), b.column("vec_id").take(row), b.column("v").take(row)], ["leaf", "vec_id", "v"])
-
-    def search(data: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("vec_id", pa.int64()), ("n", pa.list_(pa.int64())), ("d", pa.list_(pa.float64()))])
-        if not data.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        data, queries = data.combine_chunks(), queries.combine_chunks()
-        x, of = _matrix(data.column("v").combine_chunks()).astype(np.float64), data.column("vec_id").to_numpy()
-        asking, qs = queries.column("vec_id").to_numpy(), _matrix(queries.column("v").combine_chunks()).astype(np.float64)
-        ids, ds = [], []
-        for at in range(0, len(asking), 1024):
-            dist = _distances(qs[at : at + 1024], x)
-            dist[asking[at : at + 1024, None] == of] = np.inf
-            near = np.argpartition(dist, min(k, len(of) - 1), axis=1)[:, :k] if len(of) > k else np.broadcast_to(np.arange(len(of)), dist.shape)
-            for row, pick in zip(dist, near):
-                pick = pick[np.isfinite(row[pick])]
-                ids.append(of[pick])
-                ds.append(row[pick])
-        return pa.Table.from_arrays([pa.array(asking), pa.array(ids, pa.list_(pa.int64())), pa.array(ds, pa.list_(pa.float64()))], schema=schema)
-
-    kind = "leaf bigint, vec_id bigint, v array<float>"
-    data, queries = vectors.mapInArrow(placed, kind), vectors.mapInArrow(asked, kind)
-    found = data.groupBy("leaf").cogroup(queries.groupBy("leaf")).applyInArrow(search, "vec_id bigint, n array<bigint>, d array<double>")
+                x = _matrix(b.column("v"))
+                own = tree.leaf(x)
+                one = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32)), pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array(group_of[own]), pa.array(np.zeros(len(own), bool)), b.column("vec_id"), b.column("v"), one], ["part", "asks", "vec_id", "v", "leaves"])
+                visits = tree.all_visits(x, most)
+                row, leaf = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate([np.array(v, np.int64) for v in visits])
+                o = np.lexsort((leaf, group_of[leaf], row))
+                row, leaf = row[o], leaf[o]
+                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (group_of[leaf][1:] != group_of[leaf][:-1]))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(leaf))
+                take = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(group_of[leaf[new]]), pa.array(np.ones(len(new), bool)), b.column("vec_id").take(take), b.column("v").take(take), lists], ["part", "asks", "vec_id", "v", "leaves"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group, vectors before queries."""
+        now, held = -1, []
+        x = of = leaf = None
+        for batch in batches:
+            part, asks = batch.column("part").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (asks[1:] != asks[:-1]))))
+            for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(part)]):
+                b = batch.slice(a, z - a)
+                if part[a] != now:
+                    now, held, x = part[a], [], None
+                if not asks[a]:
+                    held.append((_matrix(b.column("v")), b.column("vec_id").to_numpy(), b.column("leaves").flatten().to_numpy()))
+                    continue
+                if x is None:
+                    if not held:  # the leaves of this group are empty
+                        continue
+                    x, of, leaf = (np.concatenate(c) for c in zip(*held))
+                    x = x.astype(np.float64)
+                for at in range(0, b.num_rows, 256):
+                    c = b.slice(at, 256)
+                    lists = c.column("leaves")
+                    seen = np.zeros((c.num_rows, len(group_of)), bool)
+                    seen[np.repeat(np.arange(c.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+                    asking = c.column("vec_id").to_numpy()
+                    yield _answers(asking, *nearest(_matrix(c.column("v")).astype(np.float64), asking, x, of, k, seen[:, leaf]))
+
+    rows = vectors.mapInArrow(dealt, kind)
+    return rows.repartition("part").sortWithinPartitions("part", "asks").mapInArrow(search, ANSWERS)
+
+
+def neighbours(table: DataFrame, k: int = K, recall: float = RECALL) -> DataFrame:
+    """vec_id, and of its k nearest others neighbour_ids and distances (Euclidean), nearest first."""
+    fine = "vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('inf'))"
+    rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where(fine)
+    vectors = written(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    lengths = vectors.groupBy(F.size("v").alias("d")).count().collect()
+    large = [(d, n) for d, n in lengths if n > 2 * LEAF_ROWS]
+    few = vectors.where(~F.size("v").isin([d for d, _ in large])) if large else vectors
+    found = few.withColumn("d", F.size("v")).groupBy("d").applyInArrow(_whole(k), ANSWERS)
+    for d, n in large:
+        found = found.union(_searched(vectors.where(F.size("v") == d), d, n, k, recall))
     pairs = F.flatten(F.collect_list(F.arrays_zip(F.col("d"), F.col("n"))))
     best = found.groupBy("vec_id").agg(F.slice(F.array_sort(pairs), 1, k).alias("best"))
     return best.select("vec_id", F.col("best.n").alias("neighbour_ids"), F.transform("best.d", lambda x: F.sqrt(x)).alias("distances"))
