@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.operators.frames import Bound, TermMap
@@ -215,7 +218,7 @@ def compile_expression(e, env: dict[str, Bound]) -> Value:
             return Value("bool", ~truth(see(a)))
         case Op("neg", (a,)):
             v = see(a)
-            return Value("int", -v.col) if v.kind == "int" else Value("num", -number(v))
+            return Value("int", F.try_subtract(F.lit(0).cast("bigint"), v.col.cast("bigint"))) if v.kind == "int" else Value("num", -number(v).cast("double"))
         case Op("IN", (a, *rest)):
             v, out = see(a), F.lit(False)
             for x in rest:
@@ -276,20 +279,51 @@ def call(name: str, args: tuple, env: dict[str, Bound]) -> Value:
             found = F.substring(a, F.lit(1), at - 1) if name == "STRBEFORE" else F.substring(a, at + F.length(b), F.length(a))
             return Value("str", F.when(at > 0, found).when(a.isNotNull() & b.isNotNull(), F.lit("")))
         case "SUBSTR", 2 | 3:
+            # places count from 1; what lies before the first one is cut off with its part of the length
             a = text(see(0))
-            return Value("str", F.substring(a, number(see(1)).cast("int"), number(see(2)).cast("int") if n == 3 else F.length(a)))
+            start = _rounded(number(see(1)).cast("double"))
+            end = start + _rounded(number(see(2)).cast("double")) if n == 3 else F.length(a) + F.lit(1.0)
+            first, last = F.greatest(start, F.lit(1.0)), F.least(end, F.length(a) + F.lit(1.0))
+            known = a.isNotNull() & ~F.isnan(start) & ~F.isnan(end) & start.isNotNull() & end.isNotNull()
+            return Value("str", F.when(known & (last > first), F.substring(a, first.try_cast("int"), (last - first).try_cast("int"))).when(known, F.lit("")))
         case "REPLACE", 3 | 4:
-            return Value("str", F.regexp_replace(text(see(0)), _pattern(see(1), see(3) if n == 4 else None), text(see(2))))
+            pattern, ok = _pattern(see(1), see(3) if n == 4 else None)
+            new, groups = see(2), _groups(see(1))
+            if new.const is not None and groups is not None:
+                ok = ok & F.lit(all(int(d) <= groups for d in re.findall(r"(?<!\\)\$(\d)", new.const.value)) and not re.search(r"(?<!\\)\$(?!\d)|(?<!\\)\\$", new.const.value))
+            else:  # a replacement that isn't known must be plain
+                ok = ok & ~text(new).rlike(r"[$\\]")
+            return Value("str", F.when(ok, F.regexp_replace(text(see(0)), pattern, text(new))))
         case "REGEX", 2 | 3:
-            return Value("bool", F.regexp_like(text(see(0)), _pattern(see(1), see(2) if n == 3 else None)))
+            pattern, ok = _pattern(see(1), see(2) if n == 3 else None)
+            found = F.regexp_like(text(see(0)), pattern)
+            return Value("bool", F.when(ok, found))
         case "ABS" | "CEIL" | "FLOOR" | "ROUND", 1:
             v = see(0)
-            f = {"ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor, "ROUND": lambda c: F.floor(c + 0.5)}[name]
-            return Value("int", F.abs(v.col) if name == "ABS" else v.col) if v.kind == "int" else Value("num", f(number(v)).cast("double"))
+            if v.kind == "int":
+                return Value("int", F.when(v.col >= 0, v.col.cast("bigint")).otherwise(F.try_subtract(F.lit(0).cast("bigint"), v.col.cast("bigint"))) if name == "ABS" else v.col)
+            x = number(v).cast("double")
+            return Value("num", {"ABS": F.abs, "CEIL": lambda c: -_floor(-c), "FLOOR": _floor, "ROUND": _rounded}[name](x))
         case "YEAR" | "MONTH" | "DAY" | "HOURS" | "MINUTES", 1:
             return part({"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS": F.hour, "MINUTES": F.minute}[name])
         case "SECONDS", 1:
             return Value("num", F.second(time(see(0))).cast("double"))
+        case "STRDT", 2:
+            return Value("term", F.concat(F.lit("L"), text(see(1)), F.lit("|"), plain(see(0))))
+        case "STRLANG", 2:
+            return Value("term", F.concat(F.lit("@"), F.lower(plain(see(1))), F.lit("|"), plain(see(0))))
+        case "ENCODE_FOR_URI", 1:
+            return as_text(lambda c: F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")))
+        case "MD5" | "SHA1" | "SHA256" | "SHA384" | "SHA512", 1:
+            return as_text({"MD5": F.md5, "SHA1": F.sha1}.get(name) or (lambda c: F.sha2(c, int(name[3:]))))
+        case "RAND", 0:
+            return Value("num", F.rand())
+        case "NOW", 0:
+            return Value("time", F.current_timestamp().cast("timestamp_ntz"))
+        case "UUID", 0:
+            return Value("iri", F.concat(F.lit("urn:uuid:"), F.uuid()))
+        case "STRUUID", 0:
+            return Value("str", F.uuid())
         case "ISIRI" | "ISURI" | "ISLITERAL" | "ISBLANK" | "ISNUMERIC", 1:
             v = see(0)
             if name == "ISNUMERIC":
@@ -315,31 +349,73 @@ def call(name: str, args: tuple, env: dict[str, Bound]) -> Value:
     if n == 1 and name.startswith(XSD):
         v = see(0)
         if name in INTEGERS:
-            return Value("int", v.col.cast("bigint") if v.kind in ("int", "num") else text(v).try_cast("bigint"))
+            return Value("int", v.col.try_cast("bigint") if v.kind in ("int", "num") else v.col.cast("bigint") if v.kind == "bool" else text(v).try_cast("bigint"))
         if name in NUMERIC:
-            return Value("num", v.col.cast("double") if v.kind in ("int", "num") else text(v).try_cast("double"))
+            return Value("num", v.col.cast("double") if v.kind in ("int", "num", "bool") else text(v).try_cast("double"))
         if name == STRING:
             return Value("str", text(v))
         if name == BOOLEAN:
-            return Value("bool", text(v).try_cast("boolean"))
+            if v.kind in ("int", "num"):
+                return Value("bool", truth(v))
+            t = F.trim(text(v))
+            return Value("bool", F.when(t.isin("true", "1"), F.lit(True)).when(t.isin("false", "0"), F.lit(False)))
         if name in (DATETIME, DATE):
             return Value("time", v.col if v.kind == "time" else _time(text(v)).cast("timestamp_ntz"))
     raise QueryError(f"no function {name} of {n} arguments")
 
 
-def _pattern(pattern: Value, flags: Value | None) -> Column:
-    if flags is None:
-        return text(pattern)
-    return F.concat(F.lit("(?"), text(flags), F.lit(")"), text(pattern)) if flags.const is None or flags.const.value else text(pattern)
+def _floor(x: Column) -> Column:
+    """Of a double, as a double: beyond 2^53 every one is whole."""
+    return F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)
+
+
+def _rounded(x: Column) -> Column:
+    return _floor(x + F.lit(0.5))
+
+
+def _java(pattern: str):
+    """The compiled pattern, or None if it isn't one."""
+    try:
+        return SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return None
+
+
+def _flagged(pattern: str, flags: str) -> str:
+    return f"(?{flags}){pattern}" if flags else pattern
+
+
+def _groups(pattern: Value) -> int | None:
+    """Groups of a constant pattern."""
+    if pattern.const is None:
+        return None
+    compiled = _java(pattern.const.value)
+    return compiled.matcher("").groupCount() if compiled is not None else 0
+
+
+def _pattern(pattern: Value, flags: Value | None) -> tuple[Column, Column | bool]:
+    """A regular expression and whether it is one: a constant is looked at once, others row by row."""
+    if pattern.const is not None and (flags is None or flags.const is not None):
+        whole = _flagged(pattern.const.value, flags.const.value if flags is not None else "")
+        return (F.lit(whole), F.lit(True)) if _java(whole) is not None else (F.lit("x"), F.lit(None).cast("boolean"))
+    whole = text(pattern)
+    if flags is not None:
+        whole = F.when(text(flags) == "", whole).otherwise(F.concat(F.lit("(?"), text(flags), F.lit(")"), whole))
+    return whole, F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), whole).isNotNull()
 
 
 def aggregate(a: Aggregate, env: dict[str, Bound]) -> tuple[Column, Value | None, str]:
     """The aggregate column, and the kind of value that it is."""
     if a.arg is None:
+        if a.distinct:  # solutions, not rows
+            seen = [b.key() for n, b in env.items() if not n.startswith("_")]
+            return F.count_distinct(F.struct(*seen) if seen else F.lit(1)), None, "int"
         return F.count(F.lit(1)), None, "int"
     v = compile_expression(a.arg, env)
     match a.name:
         case "COUNT":
+            if v.bound is not None and v.bound.certain and not a.distinct:
+                return F.count(F.lit(1)), v, "int"  # it is there in every row, and need not be made to be counted
             k = raw(v)
             return (F.count_distinct(k) if a.distinct else F.count(k)), v, "int"
         case "SUM" | "AVG":
@@ -347,10 +423,13 @@ def aggregate(a: Aggregate, env: dict[str, Bound]) -> tuple[Column, Value | None
             whole = v.kind == "int" and a.name == "SUM"
             f = {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg}.get((a.name, a.distinct))
             if f is None:
-                d = F.collect_set(x.cast("double"))
-                return F.aggregate(d, F.lit(0.0), lambda s, y: s + y) / F.size(d), v, "num"
-            out = f(x)
-            return F.coalesce(out.cast("bigint") if whole else out, F.lit(0).cast("bigint" if whole else "double")), v, "int" if whole else "num"
+                d = x.cast("double")
+                return F.when(F.count(d) > 0, F.sum_distinct(d) / F.count_distinct(d)).otherwise(F.lit(0.0)), v, "num"
+            if whole:  # summed as decimals, so that a sum beyond 64 bits is an error, not the end of the query
+                out = f(x.cast("decimal(20,0)"))
+                return F.when(F.count(x) > 0, out.try_cast("bigint")).otherwise(F.lit(0).cast("bigint")), v, "int"
+            out = f(x.cast("double"))
+            return F.coalesce(out, F.lit(0.0)), v, "num"
         case "MIN" | "MAX" | "SAMPLE":
             f = F.max if a.name == "MAX" else F.min
             if v.kind != "term":

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quadrille.storage import written
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame | None = None, target: str | None = None) -> DataFrame:
     """Distinct pairs (a, b) with a path of one or more edges (a, b) from a to b.
 
-    With seeds (one column, a): only from there, semi-naively, one step a round. Without: paths are joined with paths, so rounds grow
+    With seeds (one column, a): only from there, semi-naively, one step a round, and no further once target, if there is one, is met. Without: paths are joined with paths, so rounds grow
     with the logarithm of the longest path. Each round's pairs are written, so plans stay flat and lost executors repeat little.
     """
     edges = written(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "path-edges")
@@ -21,7 +21,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     else:
         seen = delta = edges
         step = None
-    while delta.head(1):
+    while delta.head(1) and not (target is not None and delta.where(F.col("b") == target).head(1)):
         ahead = step if step is not None else seen.select(F.col("a").alias("b"), F.col("b").alias("c"))
         found = delta.join(ahead, "b").select("a", F.col("c").alias("b"))
         if step is None and delta is not seen:  # what is new may also come second

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.expressions import aggregate, compile_expression, map_of, ordering, raw, term_key, truth
 from quadrille.operators.frames import Bound, Frame, TermMap, fresh, join, left_join, minus, semi_join, union
 from quadrille.operators.paths import closure
-from quadrille.plans.algebra import Aggregate, Alternative, Bind, Call, Exists, Filter, Group, Inverse, Minus, Not, Op, Optional_, Output, Repeat, Select, Sequence, Step, SubSelect, Triple, Union, Values, Var, aggregates, mentioned, visible
+from quadrille.plans.algebra import Aggregate, Alternative, Bind, Call, Const, Exists, Filter, Group, Inverse, Minus, Not, Op, Optional_, Output, Repeat, Select, Sequence, Step, SubSelect, Triple, Union, Values, Var, aggregates, mentioned, visible
 from quadrille.plans.parser import QueryError
-from quadrille.terms import DOUBLE, INTEGER, STRING, key
+from quadrille.storage import written
+from quadrille.terms import BOOLEAN, DOUBLE, INTEGER, STRING, Literal, key
 
 
 class Planner:
@@ -40,16 +41,27 @@ class Planner:
                 f = self.bind(f, o.expression, o.var)
         names = [o.var.name for o in outputs] if outputs is not None else [n for n in f.vars if not n.startswith("_")]
         df = f.table(self.spark)
-        if order:
-            df = df.orderBy(*(c.asc() if up else c.desc() for e, up in order for c in ordering(compile_expression(e, f.vars))))
+        by = [(c, up) for e, up in order for c in ordering(compile_expression(e, f.vars))]
+        within = {v for e, _ in order for v in mentioned(e)} <= set(names)
+        if q.distinct and order and not within:
+            # of equal solutions the first in order counts; the columns that say so go along to the sort
+            first = Window.partitionBy(*(f.vars[n].col for n in names if n in f.vars) or [F.lit(0)]).orderBy(*(c.asc() if up else c.desc() for c, up in by))
+            ranks = [fresh("_by") for _ in by]
+            df = df.withColumns({r: c for r, (c, _) in zip(ranks, by)} | {"_first": F.row_number().over(first)}).where("_first = 1")
+            df = df.orderBy(*(F.col(r).asc() if up else F.col(r).desc() for r, (_, up) in zip(ranks, by)))
+        elif order and not q.distinct:
+            df = df.orderBy(*(c.asc() if up else c.desc() for c, up in by))
         cols, kept = [], {}
         for n in names:
             b = f.vars.get(n) or Bound(fresh(n), None, False)
             cols.append(b.col if n in f.vars else F.lit(None).cast("string").alias(b.column))
             kept[n] = b
         df = df.select(*cols, *([F.col(f.weight)] if f.weight else []))
-        if q.distinct:
+        if q.distinct and (within or not order):
             df = df.distinct()
+            if order:  # what distinct() shuffles is sorted after it
+                now = {n: replace(b, column=kept[n].column) for n, b in f.vars.items() if n in kept}
+                df = df.orderBy(*(c.asc() if up else c.desc() for e, up in order for c in ordering(compile_expression(e, now))))
         if q.offset:
             df = df.offset(q.offset)
         if q.limit is not None:
@@ -144,6 +156,11 @@ class Planner:
             for e in parts:
                 if isinstance(e, Exists):
                     base = self.filtered(base, e)
+                elif (inner := _exists(e)) is not None:
+                    # solutions that have one, with true in its place, and those that don't, with false
+                    yes, no = Exists(inner.group, False), Exists(inner.group, True)
+                    halves = [self.filtered(self.filtered(base, x), Filter(_put(e, inner, Const(Literal(v, BOOLEAN))))) for x, v in ((yes, str(not inner.negated).lower()), (no, str(inner.negated).lower()))]
+                    base = union(halves, self.spark)
                 else:
                     # AND gives NULL or false for what isn't true: either way the row goes, and scans see plain predicates
                     base = base.where(truth(compile_expression(e, base.vars)))
@@ -182,7 +199,13 @@ class Planner:
 
     # basic graph patterns
     def basic(self, triples: list[Triple]) -> Frame:
-        return self.joined(self.frames(triples))
+        """Repeated paths come last: what the other patterns bind is where their search begins."""
+        late: list[Triple] = []
+        frames = self.frames(triples, late)
+        out = self.joined(frames) if frames else Frame(None, {})
+        for t in sorted(late, key=lambda t: isinstance(t.s, Var) + isinstance(t.o, Var)):
+            out = join(out, self.repeated(t, out))
+        return out
 
     def joined(self, frames: list[Frame]) -> Frame:
         """Joins the most selective frame with those that share variables with it, and so on; products come last."""
@@ -195,7 +218,7 @@ class Planner:
             out = join(out, frames[best])
         return out
 
-    def frames(self, triples: list[Triple]) -> list[Frame]:
+    def frames(self, triples: list[Triple], late: list[Triple]) -> list[Frame]:
         plain: list[Triple] = []
         out: list[Frame] = []
         todo = list(triples)
@@ -217,7 +240,7 @@ class Planner:
                 case Alternative(ps):
                     out.append(union([self.basic([Triple(t.s, p, t.o, t.g)]) for p in ps], self.spark))
                 case Repeat():
-                    out.append(self.repeated(t))
+                    late.append(t)
                 case Not():
                     out.append(self.source.scan(t))
                 case _:
@@ -229,21 +252,29 @@ class Planner:
             out += self.source.star(s, ts)
         return out
 
-    def repeated(self, t: Triple) -> Frame:
-        """path*, path+ and path? as distinct pairs; * and ? also pair each node of the graph, or the constant end, with itself."""
+    def repeated(self, t: Triple, before: Frame) -> Frame:
+        """path*, path+ and path? as distinct pairs; * and ? also pair each node of the graph, or of the bound end, with itself.
+
+        An end is bound if it is a constant, or a variable that `before` binds: then the search goes from there alone.
+        """
         p = t.p
         a, b = Var("_from"), Var("_to")
         inner = Planner(self.source).basic([Triple(a, p.path, b, t.g)]).keyed(["_from", "_to"])
         edges = inner.df.select(inner.vars["_from"].col.alias("a"), inner.vars["_to"].col.alias("b"))
-        flip = isinstance(t.s, Var) and not isinstance(t.o, Var)
+        known = lambda x: not isinstance(x, Var) or before.df is not None and x.name in before.vars and before.vars[x.name].certain
+        flip = (known(t.o) and not known(t.s)) or (not isinstance(t.o, Var) and isinstance(t.s, Var))
         if flip:
             edges = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
         s, o = (t.o, t.s) if flip else (t.s, t.o)
-        start = None if isinstance(s, Var) else self.spark.createDataFrame([(key(s),)], "a string")
+        start = None
+        if not isinstance(s, Var):
+            start = self.spark.createDataFrame([(key(s),)], "a string")
+        elif known(s):
+            start = written(before.df.select(before.vars[s.name].key().alias("a")).distinct(), "path-starts")
         if p.once:
-            pairs = edges.distinct() if start is None else edges.where(F.col("a") == key(s)).distinct()
+            pairs = (edges if start is None else edges.join(start.toDF("_seed"), F.col("a") == F.col("_seed"), "left_semi")).distinct()
         else:
-            pairs = closure(edges, start)
+            pairs = closure(edges, start, None if isinstance(o, Var) or isinstance(s, Var) else key(o))
         if p.zero:
             if start is not None:
                 own = start.select("a", F.col("a").alias("b"))
@@ -262,6 +293,28 @@ class Planner:
         return Frame(pairs.select(*cols), names, bound=0 if isinstance(s, Var) else 1)
 
 
+def _exists(e) -> Exists | None:
+    """An EXISTS somewhere in an expression."""
+    match e:
+        case Exists():
+            return e
+        case Op(_, args) | Call(_, args):
+            return next((x for a in args if (x := _exists(a)) is not None), None)
+    return None
+
+
+def _put(e, what, other):
+    """e with `other` for `what`."""
+    if e == what:
+        return other
+    match e:
+        case Op(n, args):
+            return Op(n, tuple(_put(a, what, other) for a in args))
+        case Call(n, args):
+            return Call(n, tuple(_put(a, what, other) for a in args))
+    return e
+
+
 def _conjuncts(e) -> list:
     return [x for a in e.args for x in _conjuncts(a)] if isinstance(e, Op) and e.name == "&&" else [e]
 

@@ -8,6 +8,7 @@ are (see frames), so filters on them are pushed into the scan, and joins along f
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,10 +73,9 @@ class TableSource:
         out = None
         for m in self.mappings.values():
             df = self.tables[m.name]
-            parts = [df.select(self.subject_map(m).key(self.subject(m)).alias("a")), df.select(F.lit(f"Iurn:{m.name}").alias("a"))]
-            parts += [df.select(self.object_map(m, c).key(F.col(c)).alias("a")).where("a IS NOT NULL") for c in self.columns(m)]
-            for p in parts:
-                out = p if out is None else out.unionAll(p)
+            own = F.array(self.subject_map(m).key(self.subject(m)), F.lit(f"Iurn:{m.name}"), *(self.object_map(m, c).key(F.col(c)) for c in self.columns(m)))
+            rows = df.select(F.explode(own).alias("a")).where("a IS NOT NULL")
+            out = rows if out is None else out.unionAll(rows)
         return out.distinct()
 
     def star(self, s, triples: list[Triple]) -> list[Frame]:
@@ -133,33 +133,56 @@ class TableSource:
         at = self.find(p)
         if at:
             return self._rows(at[0], t.s, [(at[1], t)])
-        frames = []
         refused = set(t.p.terms) if isinstance(t.p, Not) else set()
+        frames = []
         for m in self.mappings.values():
-            for column in [None, *self.columns(m)]:
-                predicate = TYPE if column is None else Iri(f"urn:{m.name}#{column}")
-                if predicate in refused or (isinstance(p, Iri) and p != predicate):
-                    continue
-                frames.append(self._one(m, column, predicate, t))
+            cells = [(c, TYPE if c is None else Iri(f"urn:{m.name}#{c}")) for c in [None, *self.columns(m)]]
+            cells = [(c, q) for c, q in cells if q not in refused and (not isinstance(p, Iri) or p == q)]
+            f = self._wide(m, cells, t) if cells else None
+            if f is not None:
+                frames.append(f)
         return union(frames, self.spark) if frames else self._none(t)
 
-    def _one(self, m: Mapping, column: str | None, predicate: Iri, t: Triple) -> Frame:
+    def _wide(self, m: Mapping, cells: list[tuple[str | None, Iri]], t: Triple) -> Frame | None:
+        """One pattern over several columns of a table: one scan, each row's cells one below another. None if nothing can match."""
         df = self.tables[m.name]
-        cells = [(t.s, self.subject(m), self.subject_map(m))]
-        if isinstance(t.p, Step) and isinstance(t.p.term, Var):
-            cells.append((t.p.term, F.lit(predicate.value), TermMap("iri", "")))
-        cells.append((t.o, F.lit(f"urn:{m.name}"), TermMap("iri", "")) if column is None else (t.o, F.col(column), self.object_map(m, column)))
+        subject, own = self.subject(m), self.subject_map(m)
+        if not isinstance(t.s, Var):
+            raw = own.raw(t.s, df.schema[m.key].dataType.simpleString() if m.key else "string")
+            if raw is None:
+                return None
+            df = df.where(subject == raw)
+        held = []  # predicate, key of the object, and whether this row has it
+        for c, q in cells:
+            if c is None:
+                k, there = F.lit(f"Iurn:{m.name}"), None if isinstance(t.o, Var) else F.lit(key(t.o) == f"Iurn:{m.name}")
+            else:
+                k, there = self.object_map(m, c).key(F.col(c)), F.col(c).isNotNull()
+                if not isinstance(t.o, Var):
+                    raw = self.object_map(m, c).raw(t.o, df.schema[c].dataType.simpleString())
+                    if raw is None:
+                        continue
+                    there = F.col(c) == raw
+            held.append((q, k, there))
+        if not held:
+            return None
+        tests = [x for _, _, x in held if x is not None]
+        if len(tests) == len(held):
+            df = df.where(reduce(lambda a, b: a | b, tests))
+        cell = F.explode(F.array(*(F.struct(F.lit(key(q)).alias("p"), (k if x is None else F.when(x, k)).alias("o")) for q, k, x in held)))
+        at = fresh("cell")
+        rows = df.select(subject.alias(at + "s"), cell.alias(at)).where(F.col(at)["o"].isNotNull())
         names: dict[str, tuple] = {}
-        if column is not None:
-            df = df.where(F.col(column).isNotNull())
-        for x, c, map_ in cells:
+        ends = [(t.s, F.col(at + "s"), own), *([(t.p.term, F.col(at)["p"], None)] if isinstance(t.p, Step) else []), (t.o, F.col(at)["o"], None)]
+        full = lambda c, how: how.key(c) if how else c
+        for x, c, how in ends:
             if not isinstance(x, Var):
-                df = df.where(map_.key(c) == key(x))
-            elif x.name in names:
-                df = df.where(map_.key(c) == names[x.name][1].key(names[x.name][0]))
+                continue
+            if x.name in names:
+                rows = rows.where(full(c, how) == full(*names[x.name][:2]))
             else:
-                names[x.name] = (c, map_, fresh(x.name))
-        return Frame(df.select(*(c.alias(a) for c, _, a in names.values())), {n: Bound(a, map_) for n, (_, map_, a) in names.items()})
+                names[x.name] = (c, how, fresh(x.name))
+        return Frame(rows.select(*(c.alias(a) for c, _, a in names.values())), {n: Bound(a, how) for n, (_, how, a) in names.items()})
 
     def _none(self, t: Triple) -> Frame:
         vars_ = {x.name: Bound(fresh(x.name)) for x in (t.s, t.o, t.g, *([t.p.term] if isinstance(t.p, Step) else [])) if isinstance(x, Var)}
