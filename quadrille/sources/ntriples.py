@@ -29,9 +29,25 @@ def _unescaped(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
+def instant(text: Column) -> Column:
+    """The time that a dateTime's lexical form stands for, in UTC; NULL for none."""
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return zoned.try_cast("timestamp").cast("timestamp_ntz")
+
+
+def parse(spark: SparkSession, text: str, scope: str = "text") -> DataFrame:
+    """Quads of statements in a string."""
+    rows = spark.createDataFrame([(x,) for x in text.splitlines()], "line string").where(r"NOT line RLIKE '^\\s*(#.*)?$'")
+    return _quads(rows.withColumn("file", F.lit(scope)), scope)
+
+
 def read(spark: SparkSession, path: str, scope: str | None = None) -> DataFrame:
     """Quads (s, p, o, g) of term keys. Blank labels are scoped by file, or by `scope`. A line that is no statement is an error."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where(r"NOT line RLIKE '^\\s*(#.*)?$'")
+    return _quads(lines, scope)
+
+
+def _quads(lines: DataFrame, scope: str | None) -> DataFrame:
     x = lambda i: F.regexp_extract("line", _LINE, i)
     mark = F.lit(hashlib.md5(scope.encode()).hexdigest()[:8]) if scope is not None else F.substring(F.md5("file"), 1, 8)
     blank = lambda c: F.concat(F.lit("B"), mark, F.lit("."), c)

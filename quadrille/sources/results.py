@@ -105,6 +105,13 @@ def parse_update(text: str) -> tuple[list[tuple], list[tuple]]:
     return inserted, deleted
 
 
+def changes(spark: SparkSession, text: str) -> DataFrame:
+    """An update as changes (s, p, o, g, w): additions first, then deletions, so what is in both goes."""
+    add, drop = parse_update(text)
+    rows = {q: 1 for q in add} | {q: -1 for q in drop}
+    return spark.createDataFrame([(*(key(t) if t is not None else None for t in q), w) for q, w in rows.items()], "s string, p string, o string, g string, w bigint")
+
+
 def apply_update(quads: DataFrame, text: str) -> DataFrame:
     """The quads after an update: additions first, then deletions, as a set."""
     spark = quads.sparkSession

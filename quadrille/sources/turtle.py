@@ -238,9 +238,9 @@ def read(spark: SparkSession, path: str, base: str = "") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(files, "s string, p string, o string, g string")
 
 
-def documents(quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+def documents(quads: DataFrame, prefixes: dict[str, str] | None = None, pretty: bool = True, indent: str = "    ") -> DataFrame:
     """Turtle, one row (value) a subject and graph, the graph's in TriG's braces; predicates and objects in order. Prefixes come
-    first in each file that write() writes."""
+    first in each file that write() writes. pretty: a line a predicate, indented; else all in one line, a blank between tokens."""
     short = lambda k: term_text(k)
 
     def named(k):
@@ -251,13 +251,13 @@ def documents(quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataF
         return out
 
     cells = quads.select("s", "g", named(F.col("s")).alias("st"), F.when(F.col("p") == "I" + RDF + "type", F.lit("a")).otherwise(named(F.col("p"))).alias("pt"), named(F.col("o")).alias("ot"), named(F.col("g")).alias("gt"))
-    lists = cells.groupBy("s", "g", "st", "gt", "pt").agg(F.array_join(F.array_sort(F.collect_set("ot")), ", ").alias("ot"))
-    rows = lists.groupBy("s", "g", "st", "gt").agg(F.array_join(F.array_sort(F.collect_list(F.concat("pt", F.lit(" "), "ot"))), " ;\n    ").alias("po"))
+    lists = cells.groupBy("s", "g", "st", "gt", "pt").agg(F.array_join(F.array_sort(F.collect_set("ot")), ", " if pretty else " , ").alias("ot"))
+    rows = lists.groupBy("s", "g", "st", "gt").agg(F.array_join(F.array_sort(F.collect_list(F.concat("pt", F.lit(" "), "ot"))), f" ;\n{indent}" if pretty else " ; ").alias("po"))
     body = F.concat("st", F.lit(" "), "po", F.lit(" ."))
     return rows.select(F.when(F.col("g").isNull(), body).otherwise(F.concat("gt", F.lit(" { "), body, F.lit(" }"))).alias("value"))
 
 
-def write(quads: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
+def write(quads: DataFrame, path: str, prefixes: dict[str, str] | None = None, pretty: bool = True, indent: str = "    ") -> None:
     """A folder of Turtle (or TriG) files, each complete in itself."""
     head = "".join(f"@prefix {n}: <{i}> .\n" for n, i in (prefixes or {}).items())
 
@@ -269,4 +269,4 @@ def write(quads: DataFrame, path: str, prefixes: dict[str, str] | None = None) -
                 values[0], first = head + values[0], False
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
 
-    documents(quads, prefixes).mapInArrow(with_head, "value string").write.text(path)
+    documents(quads, prefixes, pretty, indent).mapInArrow(with_head, "value string").write.text(path)

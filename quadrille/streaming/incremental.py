@@ -9,6 +9,10 @@ again over the new store, and its counts are compared with those before.
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +21,10 @@ from quadrille.plans.algebra import Alternative, Bind, Filter, Exists, Group, In
 from quadrille.plans.parser import parse
 from quadrille.plans.planner import Planner
 from quadrille.sources.quads import SCHEMA, QuadSource
-from quadrille.storage import written
+from quadrille.storage import drop_folder, filesystem, fresh_path
 
 QUAD = ["s", "p", "o", "g"]
+WEIGHTED = SCHEMA + ", w bigint"
 
 
 def consolidated(changes: DataFrame) -> DataFrame:
@@ -27,18 +32,17 @@ def consolidated(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*QUAD).agg(F.sum("w").alias("w")).where("w <> 0")
 
 
-def effective(changes: DataFrame, store: DataFrame) -> DataFrame:
-    """The changes that a set makes: +1 for quads that were not there, -1 for those that were."""
-    there = store.select(*(F.col(c).alias(c + "_") for c in QUAD), F.lit(1).alias("there"))
+def effective(changes: DataFrame, store: DataFrame | None) -> DataFrame:
+    """The changes that a set makes: +1 for quads that were not there, -1 for those that were. store: rows with w, whose sum is 1 for
+    what is there. Only its rows that the changes touch are shuffled."""
+    if store is None:
+        return consolidated(changes).where("w > 0").select(*QUAD, F.lit(1).cast("bigint").alias("w"))
+    touch = changes.select(*(F.col(c).alias(c + "_") for c in QUAD)).distinct()
     same = (F.col("s") == F.col("s_")) & (F.col("p") == F.col("p_")) & (F.col("o") == F.col("o_")) & F.col("g").eqNullSafe(F.col("g_"))
-    both = consolidated(changes).join(there, same, "left")
-    return both.where("(w > 0 AND there IS NULL) OR (w < 0 AND there IS NOT NULL)").select(*QUAD, F.when(F.col("w") > 0, 1).otherwise(-1).cast("bigint").alias("w"))
-
-
-def applied(store: DataFrame, changes: DataFrame) -> DataFrame:
-    """The store after effective changes."""
-    parts = store.select(*QUAD, F.lit(1).cast("bigint").alias("w")).union(changes.select(*QUAD, "w"))
-    return consolidated(parts).select(*QUAD)
+    had = store.join(touch, same, "left_semi")
+    both = changes.select(*QUAD, "w", F.lit(0).cast("bigint").alias("had")).union(had.select(*QUAD, F.lit(0).cast("bigint"), "w"))
+    now = both.groupBy(*QUAD).agg(F.sum("w").alias("w"), F.sum("had").alias("had"))
+    return now.where("(w > 0 AND had = 0) OR (w < 0 AND had > 0)").select(*QUAD, F.when(F.col("w") > 0, 1).otherwise(-1).cast("bigint").alias("w"))
 
 
 def _plain_path(p) -> bool:
@@ -117,76 +121,182 @@ class _Turn:
         return [self.scan(t) for t in triples]
 
 
+@dataclass(frozen=True)
+class State:
+    """What a live query has taken in: the last epoch, and tables (path, rows) that are read together. store: quads with w; counts:
+    result rows with n; waiting: changes not yet applied."""
+
+    epoch: int = -1
+    store: tuple[tuple[str, int], ...] = ()
+    counts: tuple[tuple[str, int], ...] = ()
+    waiting: tuple[tuple[str, int], ...] = ()
+
+    def to_json(self) -> str:
+        return json.dumps(self.__dict__)
+
+    @classmethod
+    def of_json(cls, text: str) -> State:
+        return cls(**{k: tuple(map(tuple, v)) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+
+
 class LiveQuery:
-    """A query over a store that changes. deferred: changes wait, cancelling each other out, until results are asked for."""
+    """A query over a store that changes. deferred: changes wait, cancelling each other out, until results are asked for.
+
+    The store is a log: a table of quads, then tables of changes, all with weights that add up, so a batch writes no more than its own
+    changes and those of the result. When the later tables of a log hold more rows than its first they are made one. The state moves on
+    only when all of a batch is written; a batch that fails may come again. folder: where the state is kept; a query that is
+    given the same folder goes on from there.
+    """
 
-    def __init__(self, spark: SparkSession, query: str, deferred: bool = False, checked: bool = False):
+    def __init__(self, spark: SparkSession, query: str, deferred: bool = False, checked: bool = False, folder: str | None = None):
         self.spark, self.query, self.deferred, self.checked = spark, parse(query), deferred, checked
         self.names = self.query.variables
         self.linear = is_linear(self.query)
-        self.store = spark.createDataFrame([], SCHEMA)
-        self.counts = spark.createDataFrame([], ", ".join([*(f"`{n}` string" for n in self.names), "n bigint"]))
-        if not self.linear:
+        #: The column that says how often a result is there: n, or _n and so on where a variable has that name.
+        self.n = "n"
+        while self.n in (x.lower() for x in self.names):
+            self.n = "_" + self.n
+        self.kind = ", ".join([*(f"`{n}` string" for n in self.names), f"{self.n} bigint"])
+        self.folder: str | None = None
+        self.state = State()
+        if folder is not None:
+            self.keep(folder)
+        if not self.linear and not self.state.counts and self.state.epoch < 0:
             # some queries have solutions over no data at all
-            self.counts = written(self._counted(self._keys(Planner(QuadSource(self.store)).select(self.query)).withColumn("n", F.lit(1).cast("bigint"))), "live-results")
-        self.waiting: DataFrame | None = None
-        self.epoch = -1
+            empty = spark.createDataFrame([], SCHEMA)
+            self.state = replace(self.state, counts=self._log(self._counted(self._keys(Planner(QuadSource(empty)).select(self.query)).withColumn(self.n, F.lit(1).cast("bigint"))), "live-results"))
+
+    def keep(self, folder: str) -> None:
+        """Keeps the state in this folder from now on, and takes over what is there."""
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())  # a path without a scheme means the same to Spark and to us
+        self.folder = at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
+        system, path = filesystem(self.folder)
+        if system.get_file_info(f"{path}/state.json").type.name == "File":
+            with system.open_input_file(f"{path}/state.json") as f:
+                self.state = State.of_json(f.read().decode())
+
+    def _settle(self, state: State) -> None:
+        """The one place where the state moves on."""
+        if self.folder is not None:
+            system, path = filesystem(self.folder)
+            system.create_dir(path, recursive=True)
+            with system.open_output_stream(f"{path}/state.writing") as f:
+                f.write(state.to_json().encode())
+            system.move(f"{path}/state.writing", f"{path}/state.json")
+        old, self.state = self.state, state
+        for at, _ in set(old.store) - set(state.store):
+            drop_folder(at)
+
+    def _log(self, df: DataFrame, what: str) -> tuple[tuple[str, int], ...]:
+        """df as a table of a log; nothing for no rows."""
+        path = f"{self.folder}/{what}-{uuid.uuid4().hex}" if self.folder else fresh_path(self.spark, what)
+        df.write.parquet(path)
+        rows = self.spark.read.schema(df.schema).parquet(path).count()
+        return ((path, rows),) if rows else ()
+
+    def _read(self, log, schema: str) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(*(path for path, _ in log)) if log else None
+
+    @staticmethod
+    def _long(log) -> bool:
+        return len(log) > 1 and (len(log) > 32 or sum(n for _, n in log[1:]) > log[0][1])
+
+    @property
+    def epoch(self) -> int:
+        return self.state.epoch
+
+    @property
+    def store(self) -> DataFrame:
+        """The quads as they are now."""
+        rows = self._read(self.state.store, WEIGHTED)
+        if rows is None:
+            return self.spark.createDataFrame([], SCHEMA)
+        return (consolidated(rows) if len(self.state.store) > 1 else rows).select(*QUAD)
+
+    @property
+    def counts(self) -> DataFrame:
+        rows = self._read(self.state.counts, self.kind)
+        if rows is None:
+            return self.spark.createDataFrame([], self.kind)
+        return self._counted(rows) if len(self.state.counts) > 1 else rows
 
     def _keys(self, f: Frame) -> DataFrame:
         cols = [f.vars[n].key().alias(n) if n in f.vars else F.lit(None).cast("string").alias(n) for n in self.names]
-        return f.table(self.spark).select(*cols, *([F.col(f.weight).alias("n")] if f.weight else []))
+        return f.table(self.spark).select(*cols, *([F.col(f.weight).alias(self.n)] if f.weight else []))
 
     def _counted(self, rows: DataFrame) -> DataFrame:
         if not self.names:
-            return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")).where("n <> 0")
-        return rows.groupBy(*self.names).agg(F.sum("n").cast("bigint").alias("n")).where("n <> 0")
+            return rows.agg(F.coalesce(F.sum(self.n), F.lit(0)).cast("bigint").alias(self.n)).where(F.col(self.n) != 0)
+        return rows.groupBy(*self.names).agg(F.sum(self.n).cast("bigint").alias(self.n)).where(F.col(self.n) != 0)
 
     def push(self, changes: DataFrame, epoch: int | None = None) -> DataFrame | None:
         """Takes a batch; returns the changes of the result (a column a variable, of term keys, and n), or None if they wait. A batch
         whose epoch was seen already is left out, so that a stream may repeat it."""
-        if epoch is not None:
-            if epoch <= self.epoch:
-                return None
-            self.epoch = epoch
-        rows = changes.select(*QUAD, F.col("w").cast("bigint").alias("w"))
+        if epoch is not None and epoch <= self.state.epoch:
+            return None
+        at = self.state.epoch if epoch is None else epoch
+        rows = self._log(changes.select(*QUAD, F.col("w").cast("bigint").alias("w")), "batch")
         if self.deferred:
-            # opposite changes of a quad cancel out, as they do within a batch
-            self.waiting = written(rows if self.waiting is None else consolidated(self.waiting.union(rows)), "waiting")
+            self._settle(replace(self.state, epoch=at, waiting=self.state.waiting + rows))
             return None
-        return self._apply(rows)
-
-    def _apply(self, rows: DataFrame) -> DataFrame:
-        changes = written(effective(rows, self.store), "changes")
-        old, store = self.store, written(applied(self.store, changes), "store")
-        self.store = store
+        return self._apply(rows, at)
+
+    def _apply(self, batch, epoch: int) -> DataFrame:
+        empty = self.spark.createDataFrame([], self.kind)
+        if not batch:
+            self._settle(replace(self.state, epoch=epoch, waiting=()))
+            return empty
+        old = self._read(self.state.store, WEIGHTED)
+        # opposite changes of a quad cancel out within a batch
+        changed = self._log(effective(self._read(batch, WEIGHTED), old), "changes")
+        if not changed:
+            self._settle(replace(self.state, epoch=epoch, waiting=()))
+            return empty
+        changes, log = self._read(changed, WEIGHTED), self.state.store + changed
+        if self._long(log):
+            # sorted by predicate and subject: a scan for either skips what it doesn't need
+            log = self._log(consolidated(self._read(log, WEIGHTED)).repartitionByRange("p", "s").sortWithinPartitions("p", "s"), "store")
+        new = self._read(log, WEIGHTED)
         if self.linear:
-            a, d, b = QuadSource(old, distinct=False), QuadSource(changes, "w"), QuadSource(store, distinct=False)
+            a = QuadSource(old if old is not None else self.spark.createDataFrame([], WEIGHTED), "w")
+            d = QuadSource(changes, "w")
+            b = QuadSource(new if new is not None else self.spark.createDataFrame([], WEIGHTED), "w")
             parts = []
             for g in branches(self.query.body):
                 first = _Turn(a, d, b, -1)
                 Planner(first).group(g)
                 for i in range(first.n):
+                    if i + 1 < first.n and old is None:
+                        continue  # a later pattern would see the empty store
                     parts.append(self._keys(Planner(_Turn(a, d, b, i)).select(Select(self.query.outputs, g))))
-            delta = parts[0] if parts else self.counts.limit(0)
+            delta = parts[0] if parts else empty
             for p in parts[1:]:
                 delta = delta.union(p)
         else:
-            now = self._keys(Planner(QuadSource(store, distinct=False)).select(self.query)).withColumn("n", F.lit(1).cast("bigint"))
-            delta = now.union(self.counts.select(*(F.col(f"`{n}`") for n in self.names), -F.col("n")))
-        delta = written(self._counted(delta), "result-changes")
-        self.counts = written(self._counted(self.counts.union(delta)), "live-results")
-        if self.checked and self.counts.where("n < 0").head(1):
+            store = self.spark.createDataFrame([], SCHEMA) if new is None else (consolidated(new) if len(log) > 1 else new).select(*QUAD)
+            now = self._keys(Planner(QuadSource(store, distinct=False)).select(self.query)).withColumn(self.n, F.lit(1).cast("bigint"))
+            delta = now.union(self.counts.select(*(F.col(f"`{n}`") for n in self.names), -F.col(self.n)))
+        change = self._log(self._counted(delta), "result-changes")
+        counts = self.state.counts + change
+        if self._long(counts):
+            counts = self._log(self._counted(self._read(counts, self.kind)), "live-results")
+        if self.checked and counts and self._counted(self._read(counts, self.kind)).where(F.col(self.n) < 0).head(1):
             raise AssertionError("a result is there fewer than 0 times")
-        return delta
+        self._settle(State(epoch, log, counts))
+        return self._read(change, self.kind) if change else empty
 
     def results(self) -> DataFrame:
-        """The results as they are now: a column a variable, of term keys, and n, how often."""
-        if self.waiting is not None:
-            rows, self.waiting = self.waiting, None
-            self._apply(rows)
+        """The results as they are now: a column a variable, of term keys, and n (or self.n), how often."""
+        if self.state.waiting:
+            self._apply(self.state.waiting, self.state.epoch)
         return self.counts
 
     def subscribe(self, stream: DataFrame, checkpoint: str | None = None):
-        """Follows a stream of changes, batch by batch; stop() of what is returned ends it."""
+        """Follows a stream of changes, batch by batch; stop() of what is returned ends it. With a checkpoint, the query's own state is
+        kept beside it, so that a new query that follows the same stream goes on with the results that were there."""
+        if checkpoint and self.folder is None:
+            self.keep(checkpoint.rstrip("/") + "-live")
         out = stream.writeStream.foreachBatch(lambda df, epoch: self.push(df, epoch))
         return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()

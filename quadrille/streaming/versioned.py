@@ -6,18 +6,48 @@ graph is the member's id. Of versions with one ts the last that arrived counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.sources.ntriples import instant
 from quadrille.storage import written
+from quadrille.terms import DATETIME, RDF, Iri, key
 
+DCT = "http://purl.org/dc/terms/"
+LDES = "https://w3id.org/ldes#"
+TREE = "https://w3id.org/tree#"
 MEMBERS = "id string, base string, ts timestamp_ntz, seq bigint"
 QUADS = "s string, p string, o string, g string"
 
 
+class Transform(Protocol):
+    """How the content of members lies in a stream's quads."""
+
+    def encode(self, content: DataFrame) -> DataFrame:
+        """Quads (s, p, o, g) of content (s, p, o, id)."""
+
+    def decode(self, quads: DataFrame, ids: DataFrame) -> DataFrame:
+        """Quads (s, p, o, g) of the members in ids (one column, id), g the member."""
+
+
+class GraphBased:
+    """Each member's content is the graph that is named like it."""
+
+    def encode(self, content: DataFrame) -> DataFrame:
+        return content.select("s", "p", "o", F.col("id").alias("g"))
+
+    def decode(self, quads: DataFrame, ids: DataFrame) -> DataFrame:
+        return quads.join(ids.select(F.col("id").alias("_g")), F.col("g") == F.col("_g"), "left_semi")
+
+
 class VersionedStream:
-    def __init__(self, spark: SparkSession, members: DataFrame | None = None, quads: DataFrame | None = None):
-        self.spark = spark
+    """transform: how content is encoded; another one than GraphBased may be given."""
+
+    def __init__(self, spark: SparkSession, members: DataFrame | None = None, quads: DataFrame | None = None, transform: Transform | None = None):
+        self.spark, self.transform = spark, transform or GraphBased()
         self.members = members if members is not None else spark.createDataFrame([], MEMBERS)
         self.quads = quads if quads is not None else spark.createDataFrame([], QUADS)
 
@@ -29,9 +59,9 @@ class VersionedStream:
         new = new.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("ts"))).join(have, "base", "left")
         # one arrival: all its versions share a place, and ts tells them apart
         new = written(new.select(F.concat("base", F.lit("_v"), (F.coalesce("had", F.lit(0)) + F.col("k") - 1).cast("string")).alias("id"), "base", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(start).cast("bigint").alias("seq")), "members")
-        content = versions.withColumn("ts", F.col("ts").cast("timestamp_ntz")).join(new.select("id", "base", "ts"), ["base", "ts"]).select("s", "p", "o", F.concat(F.lit("I"), F.col("id").substr(F.lit(2), F.length("id"))).alias("g"))
+        content = versions.withColumn("ts", F.col("ts").cast("timestamp_ntz")).join(new.select("id", "base", "ts"), ["base", "ts"]).select("s", "p", "o", "id")
         self.members = self.members.select("id", "base", "ts", "seq").union(new)
-        self.quads = self.quads.select("s", "p", "o", "g").union(written(content, "versions"))
+        self.quads = self.quads.select("s", "p", "o", "g").union(written(self.transform.encode(content), "versions"))
 
     def latest(self, until=None, inclusive: bool = True) -> DataFrame:
         """The newest member of each base, up to a time."""
@@ -43,14 +73,41 @@ class VersionedStream:
 
     def as_of(self, until=None) -> DataFrame:
         """Quads of everything as it was, g the version that says so."""
-        now = self.latest(until).select(F.concat(F.lit("I"), F.col("id").substr(F.lit(2), F.length("id"))).alias("_g"))
-        return self.quads.join(now, F.col("g") == F.col("_g"), "left_semi")
+        return self.transform.decode(self.quads, self.latest(until).select("id"))
 
     def version(self, base: str, ts, inclusive: bool = True) -> DataFrame:
         """Quads of one object as it was at a time (or just before it). base: its term key."""
         one = VersionedStream(self.spark, self.members.where(F.col("base") == base), self.quads)
-        now = one.latest(ts, inclusive).select(F.concat(F.lit("I"), F.col("id").substr(F.lit(2), F.length("id"))).alias("_g"))
-        return self.quads.join(now, F.col("g") == F.col("_g"), "left_semi").select("s", "p", "o")
+        return self.transform.decode(self.quads, one.latest(ts, inclusive).select("id")).select("s", "p", "o")
+
+    def to_quads(self, identifier: str, timestamp_path: str = DCT + "modified", version_of_path: str = DCT + "isVersionOf") -> DataFrame:
+        """The stream as RDF: what it is, its members with their times and objects, and their content. Paths and identifier are IRIs."""
+        iri = lambda x: F.lit("I" + x)
+        me = [("type", RDF + "type", LDES + "EventStream"), ("t", LDES + "timestampPath", timestamp_path), ("v", LDES + "versionOfPath", version_of_path)]
+        head = self.spark.createDataFrame([("I" + identifier, "I" + p, "I" + o, None) for _, p, o in me], QUADS)
+        cells = F.array(
+            F.struct(iri(identifier).alias("s"), iri(TREE + "member").alias("p"), F.col("id").alias("o")),
+            F.struct(F.col("id").alias("s"), iri(version_of_path).alias("p"), F.col("base").alias("o")),
+            F.struct(F.col("id").alias("s"), iri(timestamp_path).alias("p"), F.concat(F.lit(f"L{DATETIME}|"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("o")),
+        )
+        rows = self.members.select(F.explode(cells).alias("c")).select("c.s", "c.p", "c.o", F.lit(None).cast("string").alias("g"))
+        return head.union(rows).union(self.quads)
+
+    @classmethod
+    def of_quads(cls, spark: SparkSession, quads: DataFrame, identifier: str, transform: Transform | None = None) -> VersionedStream:
+        """The stream that quads hold under this IRI; ValueError if they don't say which paths it uses. Members without time or object
+        are left out; of equal times the order of ids counts as that of arrival."""
+        me = quads.where((F.col("s") == "I" + identifier) & F.col("p").isin("I" + LDES + "timestampPath", "I" + LDES + "versionOfPath"))
+        paths = {r.p[1 + len(LDES) :]: r.o for r in me.select("p", "o").collect()}
+        if set(paths) != {"timestampPath", "versionOfPath"}:
+            raise ValueError(f"<{identifier}> is no versioned stream here")
+        ids = quads.where((F.col("s") == "I" + identifier) & (F.col("p") == key(Iri(TREE + "member")))).select(F.col("o").alias("id")).distinct()
+        at = lambda p, name: quads.where(F.col("p") == paths[p]).groupBy(F.col("s").alias("id")).agg(F.min("o").alias(name))
+        found = ids.join(at("versionOfPath", "base"), "id").join(at("timestampPath", "at"), "id").withColumn("ts", instant(F.substring_index("at", "|", -1))).where("ts IS NOT NULL")
+        members = found.select("id", "base", "ts", (F.row_number().over(Window.partitionBy("base").orderBy("ts", "id")) - 1).cast("bigint").alias("seq"))
+        stream = cls(spark, written(members, "members"), None, transform)
+        stream.quads = quads.where("g IS NOT NULL").select("s", "p", "o", "g") if isinstance(stream.transform, GraphBased) else quads.select("s", "p", "o", "g")
+        return stream
 
 
 def as_of_rows(table: DataFrame, base: str, ts: str, order: str, until) -> DataFrame:
@@ -65,24 +122,32 @@ def diff(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     return b.exceptAll(a), a.exceptAll(b)
 
 
+def by_subject() -> Column:
+    """The cluster of a quad: its subject."""
+    return F.col("s")
+
+
 class SnapshotStore:
-    """Snapshots of a graph as versions of its subjects: a snapshot stores only the subjects that changed, a minute after the last."""
+    """Snapshots of a graph as versions of clusters of quads, by default of its subjects: a snapshot stores only the clusters that
+    changed, a minute after the last. Clusters are compared by 128 bits of hashes of their quads."""
 
-    def __init__(self, spark: SparkSession, start: str):
-        self.spark, self.start, self.count = spark, start, 0
-        self.hashes = spark.createDataFrame([], "base string, h bigint")
+    def __init__(self, spark: SparkSession, start: str, clustering: Callable[[], Column] = by_subject):
+        self.spark, self.start, self.count, self.clustering = spark, start, 0, clustering
+        self.hashes = spark.createDataFrame([], "base string, h binary")
         self.stream = VersionedStream(spark)
 
     def add(self, quads: DataFrame) -> None:
-        rows = written(quads.select("s", "p", "o").distinct(), "snapshot")
+        rows = written(quads.select("s", "p", "o").distinct().withColumn("base", self.clustering()), "snapshot")
         if rows.where("s LIKE 'B%'").head(1):
             raise ValueError("a blank node can't be followed from snapshot to snapshot")
         at = F.lit(self.start).cast("timestamp_ntz") + F.expr(f"INTERVAL {self.count} MINUTES")
-        now = written(rows.groupBy(F.col("s").alias("base")).agg(F.sum(F.xxhash64("p", "o").cast("decimal(38,0)")).alias("d"), F.count("*").alias("n")).select("base", F.xxhash64("d", "n").alias("h")), "hashes")
+        # sums of two hashes of each quad, whatever the order of the quads
+        sums = [F.sum(F.xxhash64(F.lit(k), "s", "p", "o").cast("decimal(38,0)")).alias(f"d{k}") for k in (1, 2)]
+        now = written(rows.groupBy("base").agg(*sums, F.count("*").alias("n")).select("base", F.unhex(F.md5(F.concat_ws("|", "d1", "d2", "n"))).alias("h")), "hashes")
         old = self.hashes.select(F.col("base").alias("b_"), F.col("h").alias("h_"))
         both = now.join(old, F.col("base") == F.col("b_"), "full").where("NOT (h <=> h_)")
         changed = written(both.select(F.coalesce("base", "b_").alias("base"), F.col("base").isNull().alias("gone")), "changed")
-        content = rows.join(changed.where("NOT gone"), F.col("s") == F.col("base")).select("base", at.alias("ts"), "s", "p", "o")
+        content = rows.join(changed.where("NOT gone").select("base"), "base").select("base", at.alias("ts"), "s", "p", "o")
         # a subject that went has a version that says only this
         none = changed.where("gone").select("base", at.alias("ts"), F.col("base").alias("s"), F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("o"))
         self.stream.append(content.union(none))
