@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.build import Builder
+from quadrille.endpoint import Endpoint
 from quadrille.graph import Graph
 from quadrille.sources import ntriples, results, turtle
 from quadrille.sources.tables import TPCH, TableSource
 from quadrille.storage import fresh_path
 from quadrille.streaming.incremental import LiveQuery
 from quadrille.streaming.versioned import SnapshotStore, VersionedStream, as_of_rows, diff
+from quadrille.terms import Iri
 
 PREFIXES = "".join(f"PREFIX {n}: <urn:{t}#> " for n, t in (("r", "region"), ("n", "nation"), ("c", "customer"), ("s", "supplier"), ("p", "part"), ("o", "orders"), ("l", "lineitem"), ("e", "events"))) + "PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> "
 
@@ -43,6 +46,23 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT ?name (COUNT(?o) AS ?n) { ?o o:o_custkey/c:c_nationkey/n:n_regionkey/r:r_name ?name } GROUP BY ?name",
         "SELECT r_name AS name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     ),
+    "path_alternative_sequences": (
+        "SELECT ?x ?n { ?x (c:c_nationkey/n:n_name|s:s_nationkey/n:n_name) ?n }",
+        "SELECT 'urn:customer:' || c_custkey AS x, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'urn:supplier:' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    ),
+    "path_negated_inverse": ("SELECT ?x { <urn:region:3> ^n:n_regionkey/!(n:n_name|n:n_nationkey|rdf:type|^c:c_nationkey|^s:s_nationkey) ?x }", "SELECT 'urn:region:' || 3 AS x FROM nation WHERE n_regionkey = 3"),
+    "path_counted": (
+        "SELECT ?c ?r { ?c c:c_acctbal ?b . ?c (c:c_nationkey|n:n_regionkey){1,2} ?r FILTER(?b > 9900) }",
+        "SELECT 'urn:customer:' || c_custkey AS c, 'urn:nation:' || c_nationkey AS r FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT 'urn:customer:' || c_custkey, 'urn:region:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9900",
+    ),
+    "path_zero_or_one": (
+        "SELECT ?c ?x { ?c c:c_acctbal ?b . ?c c:c_nationkey? ?x FILTER(?b < -900) }",
+        "SELECT c_custkey AS c, 'urn:customer:' || c_custkey AS x FROM customer WHERE c_acctbal < -900 UNION ALL SELECT c_custkey, 'urn:nation:' || c_nationkey FROM customer WHERE c_acctbal < -900",
+    ),
+    "path_zero_or_more_bound": (
+        'SELECT ?c ?x { ?c c:c_mktsegment "BUILDING" . ?c (c:c_nationkey|n:n_regionkey)* ?x }',
+        "WITH b AS (SELECT c_custkey AS c, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING') SELECT c, 'urn:customer:' || c AS x FROM b UNION ALL SELECT c, 'urn:nation:' || n FROM b UNION ALL SELECT c, 'urn:region:' || r FROM b",
+    ),
     "path_inverse": ("SELECT ?c ?s { ?c c:c_nationkey/^s:s_nationkey ?s }", "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey"),
     "path_one_or_more": (
         "SELECT ?a ?b { ?a (n:n_regionkey/^n:n_regionkey)+ ?b }",
@@ -81,6 +101,15 @@ SPARQL: dict[str, tuple[str, str]] = {
         'SELECT ?p (STRLEN(?n) AS ?len) (UCASE(SUBSTR(?n, 1, 4)) AS ?head) { ?p p:p_name ?n FILTER(REGEX(?n, "a.*e", "i") && !STRSTARTS(?n, "b")) }',
         "SELECT p_partkey AS p, length(p_name)::BIGINT AS len, upper(substr(p_name, 1, 4)) AS head FROM part WHERE regexp_matches(p_name, 'a.*e', 'i') AND NOT starts_with(p_name, 'b')",
     ),
+    "filter_unary_minus": ("SELECT ?c { ?c c:c_acctbal ?b FILTER(-?b > 500 && -(-?b) < 0) }", "SELECT c_custkey AS c FROM customer WHERE -c_acctbal > 500"),
+    "filter_errors": (
+        'SELECT ?p ?i ?s (SUBSTR(?n, 0, 4) AS ?head) (ENCODE_FOR_URI(?n) AS ?code) (MD5(?n) AS ?sum) { ?p p:p_name ?n ; p:p_retailprice ?x BIND(xsd:integer(?x * 1e30) AS ?i) BIND(SUBSTR(?n, 1e30) AS ?s) FILTER(!REGEX(?n, "z") || REGEX(?n, "(")) FILTER(REGEX(?n, "^.") || REGEX(?n, CONCAT("(", ?n))) }',
+        "SELECT p_partkey AS p, NULL::BIGINT AS i, '' AS s, substr(p_name, 1, 3) AS head, replace(p_name, ' ', '%20') AS code, md5(p_name) AS sum FROM part WHERE p_name NOT LIKE '%z%'",
+    ),
+    "filter_exists_or": (
+        "SELECT ?c { ?c c:c_acctbal ?b FILTER(?b > 9900 || EXISTS { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > 300000) }) }",
+        "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 9900 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    ),
     "filter_exists": ("SELECT ?c { ?c c:c_acctbal ?b FILTER EXISTS { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > 300000) } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "filter_not_exists": ("SELECT ?c ?n { ?c c:c_name ?n FILTER NOT EXISTS { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > 250000) } }", "SELECT c_custkey AS c, c_name AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)"),
     "filter_exists_broad": ("SELECT ?r { ?x r:r_name ?r FILTER EXISTS { ?o o:o_totalprice ?t FILTER(?t > 1e5) } }", "SELECT r_name AS r FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1e5)"),
@@ -110,6 +139,16 @@ SPARQL: dict[str, tuple[str, str]] = {
     "aggregate_by_expression": ("SELECT ?y (COUNT(?o) AS ?n) { ?o o:o_orderdate ?d } GROUP BY (YEAR(?d) AS ?y)", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1"),
     "aggregate_whole": ("SELECT (SUM(?q) AS ?total) (COUNT(DISTINCT ?f) AS ?kinds) { ?l l:l_quantity ?q ; l:l_returnflag ?f }", "SELECT sum(l_quantity) AS total, count(DISTINCT l_returnflag) AS kinds FROM lineitem"),
     "order_by_limit": ("SELECT ?o ?t { ?o o:o_totalprice ?t } ORDER BY DESC(?t) ?o LIMIT 20 OFFSET 5", "SELECT o_orderkey AS o, o_totalprice AS t FROM orders ORDER BY t DESC, o LIMIT 20 OFFSET 5"),
+    "order_distinct_limit": ("SELECT DISTINCT ?t { ?p p:p_type ?t } ORDER BY DESC(?t) LIMIT 5", "SELECT DISTINCT p_type AS t FROM part ORDER BY t DESC LIMIT 5"),
+    "order_distinct_by_other": (
+        "SELECT DISTINCT ?m { ?c c:c_mktsegment ?m ; c:c_acctbal ?b } ORDER BY DESC(?b) LIMIT 3",
+        "SELECT c_mktsegment AS m FROM customer GROUP BY 1 ORDER BY max(c_acctbal) DESC LIMIT 3",
+    ),
+    "aggregate_count_distinct_all": (
+        "SELECT (COUNT(DISTINCT *) AS ?n) (COUNT(*) AS ?every) { { ?c c:c_nationkey ?na } UNION { ?c c:c_nationkey ?na ; c:c_acctbal ?b } }",
+        "SELECT count(DISTINCT (c, na, b)) AS n, count(*) AS every FROM (SELECT c_custkey AS c, c_nationkey AS na, NULL AS b FROM customer UNION ALL SELECT c_custkey, c_nationkey, c_acctbal FROM customer)",
+    ),
+    "aggregate_no_pattern": ("SELECT (COUNT(*) AS ?n) (1 + 2 AS ?three) { }", "SELECT 1::BIGINT AS n, 3::BIGINT AS three"),
     "distinct": ("SELECT DISTINCT ?m ?n { ?c c:c_mktsegment ?m ; c:c_nationkey ?n }", "SELECT DISTINCT c_mktsegment AS m, c_nationkey AS n FROM customer"),
     "sub_select": (
         "SELECT ?n ?best { { SELECT ?na (MAX(?b) AS ?best) { ?s s:s_nationkey ?na ; s:s_acctbal ?b } GROUP BY ?na } ?na n:n_name ?n }",
@@ -138,6 +177,73 @@ def quads_lookup(spark, sf_dir):
     return _plain(Graph.of_quads(quads), "SELECT ?n ?r { ?x n:n_name ?n ; n:n_regionkey/r:r_name ?r }")
 
 
+def scan_wildcard(spark, sf_dir):
+    """All quads with one predicate, any subject and object."""
+    return Graph.of_quads(_table_quads(spark, sf_dir, "nation")).scan(p=Iri("urn:nation#n_name")).select("s", "o")
+
+
+def scan_same_variable(spark, sf_dir):
+    """One variable as subject and object of a pattern: customers that are joined to themselves."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    link = customers.select(F.concat(F.lit("Iurn:customer:"), "c_custkey").alias("s"), F.lit("Iurn:like").alias("p"), F.concat(F.lit("Iurn:customer:"), (F.col("c_custkey") - F.col("c_custkey") % 5).cast("string")).alias("o"), F.lit(None).cast("string").alias("g"))
+    return _plain(Graph.of_quads(link), "SELECT ?x ?p { ?x ?p ?x }")
+
+
+def _tagged(spark, sf_dir) -> Graph:
+    """Names of nations as English, British or French strings."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    tag = F.element_at(F.array(F.lit("en"), F.lit("en-gb"), F.lit("fr")), F.col("n_nationkey") % 3 + 1)
+    return Graph.of_quads(nations.select(F.concat(F.lit("Iurn:nation:"), "n_nationkey").alias("s"), F.lit("Iurn:name").alias("p"), F.concat(F.lit("@"), tag, F.lit("|"), "n_name").alias("o"), F.lit(None).cast("string").alias("g")))
+
+
+def filter_lang(spark, sf_dir):
+    return _plain(_tagged(spark, sf_dir), 'SELECT ?x ?n { ?x <urn:name> ?n FILTER(LANG(?n) = "en") }')
+
+
+def filter_langmatches(spark, sf_dir):
+    return _plain(_tagged(spark, sf_dir), 'SELECT ?x (STR(?n) AS ?name) { ?x <urn:name> ?n FILTER(LANGMATCHES(LANG(?n), "EN")) }')
+
+
+def built_graph(spark, sf_dir):
+    """A graph that is written down in Python, with a list and a blank node."""
+    b = Builder("urn:e:")
+    b.a("x", "T").add("x", "items", b.list(1, 2, 3)).add("x", "at", b.blank(("lat", 1.5), ("lon", 2.5)))
+    return _plain(b.build(spark), "SELECT ?i ?lat { ?x a <urn:e:T> ; <urn:e:items>/rdf:rest*/rdf:first ?i ; <urn:e:at>/<urn:e:lat> ?lat }")
+
+
+def ntriples_escapes(spark, sf_dir):
+    """Texts with quotes, backslashes, line ends and tabs, written and read."""
+    path = fresh_path(spark, "escapes")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    odd = F.concat("p_name", F.lit('"\\ \n\t\ré '), "p_type")
+    ntriples.write(parts.select(F.concat(F.lit("Iurn:part:"), "p_partkey").alias("s"), F.lit("Iurn:odd").alias("p"), F.concat(F.lit(_NAME), odd).alias("o"), F.lit(None).cast("string").alias("g")), path)
+    return _plain(Graph.of_quads(ntriples.read(spark, path)), "SELECT ?x ?o { ?x <urn:odd> ?o }")
+
+
+def trig_round_trip(spark, sf_dir):
+    """Suppliers in a graph for each nation, written and read as TriG."""
+    path = fresh_path(spark, "trig")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    quads = rows.select(F.concat(F.lit("Iurn:supplier:"), "s_suppkey").alias("s"), F.lit("Iurn:name").alias("p"), F.concat(F.lit(_NAME), "s_name").alias("o"), F.concat(F.lit("Iurn:nation:"), "s_nationkey").alias("g"))
+    turtle.write(quads, path, pretty=False)
+    return _plain(Graph.of_quads(turtle.read(spark, path)), "SELECT ?x ?n ?g { GRAPH ?g { ?x <urn:name> ?n } }")
+
+
+def results_document(spark, sf_dir):
+    """A whole JSON document, read back."""
+    text = results.to_json(Graph.of_tables(spark, sf_dir).query(PREFIXES + "SELECT ?x ?n { ?x r:r_name ?n }"))
+    return results.from_json(spark, text).select(F.col("x.value").alias("x"), F.col("n.value").alias("n"))
+
+
+def endpoint_query(spark, sf_dir):
+    """A remembered query of the endpoint, asked again after an update."""
+    point = Endpoint(_table_quads(spark, sf_dir, "region"))
+    text = PREFIXES + "SELECT ?x ?n { ?x r:r_name ?n }"
+    point.query(text)
+    point.update('INSERT DATA { <urn:region:9> <urn:region#r_name> "NOWHERE" } ; DELETE DATA { <urn:region:0> <urn:region#r_name> "AFRICA" }')
+    return results.from_json(spark, point.query(text)).select(F.col("x.value").alias("x"), F.col("n.value").alias("n"))
+
+
 def ntriples_round_trip(spark, sf_dir):
     path = fresh_path(spark, "ntriples")
     ntriples.write(_table_quads(spark, sf_dir, "customer"), path)
@@ -178,6 +284,41 @@ def versioned_as_of(spark, sf_dir):
     return _plain(Graph.of_quads(stream.as_of("2024-01-15 00:00:00")), "SELECT ?u ?t { ?u <urn:did> ?t }")
 
 
+def _event_stream(spark, sf_dir) -> VersionedStream:
+    """Users as objects, events as their versions; of events at one time the last one is appended last."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user = F.concat(F.lit("Iurn:user:"), F.col("user_id").cast("string"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "ts").orderBy("event_id"))
+    rows = events.withColumn("rank", rank).select("rank", user.alias("base"), "ts", user.alias("s"), F.lit("Iurn:did").alias("p"), F.concat(F.lit(_NAME), "event_type").alias("o"))
+    stream = VersionedStream(spark)
+    for k in range(1, (rows.agg(F.max("rank")).first()[0] or 0) + 1):
+        stream.append(rows.where(F.col("rank") == k).drop("rank"))
+    return stream
+
+
+def versioned_ties(spark, sf_dir):
+    """As of a time, where an object has several versions of one time: the last that arrived counts."""
+    return _plain(Graph.of_quads(_event_stream(spark, sf_dir).as_of("2024-01-15 00:00:00")), "SELECT ?u ?t { ?u <urn:did> ?t }")
+
+
+def versioned_one(spark, sf_dir):
+    """One object as it was at a time."""
+    rows = _event_stream(spark, sf_dir).version("Iurn:user:7", "2024-01-20 00:00:00")
+    return rows.select(F.substring_index("s", ":", -1).cast("bigint").alias("u"), F.substring_index("o", "|", -1).alias("t"))
+
+
+def versioned_as_rdf(spark, sf_dir):
+    """A versioned stream written as RDF, read back and asked as of a time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "ts").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    user = F.concat(F.lit("Iurn:user:"), F.col("user_id").cast("string"))
+    stream = VersionedStream(spark)
+    stream.append(events.select(user.alias("base"), "ts", user.alias("s"), F.lit("Iurn:did").alias("p"), F.concat(F.lit(_NAME), "event_type").alias("o")))
+    path = fresh_path(spark, "stream")
+    ntriples.write(stream.to_quads("urn:stream"), path)
+    back = VersionedStream.of_quads(spark, ntriples.read(spark, path), "urn:stream")
+    return _plain(Graph.of_quads(back.as_of("2024-01-15 00:00:00")), "SELECT ?u ?t { ?u <urn:did> ?t }")
+
+
 def snapshot_diff(spark, sf_dir):
     """What came and what went between two states of the orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
@@ -196,9 +337,9 @@ def snapshot_store(spark, sf_dir):
     return plain(came, 1).union(plain(went, -1))
 
 
-def _live(spark, sf_dir, query: str, deferred: bool) -> DataFrame:
+def _live(spark, sf_dir, query: str, deferred: bool, checked: bool = False) -> DataFrame:
     """Customers arrive in two batches, of which the second also takes some away."""
-    q = LiveQuery(spark, PREFIXES + query, deferred=deferred)
+    q = LiveQuery(spark, PREFIXES + query, deferred=deferred, checked=checked)
     quads = _table_quads(spark, sf_dir, "customer")
     number = F.substring_index("s", ":", -1).cast("bigint") % 10
     q.push(_table_quads(spark, sf_dir, "nation").withColumn("w", F.lit(1)))
@@ -219,6 +360,21 @@ def live_join_deferred(spark, sf_dir):
     return _live_counts(_live(spark, sf_dir, _LIVE, True))
 
 
+def live_checked(spark, sf_dir):
+    """The same, with a check after each batch that no result is there fewer than 0 times."""
+    return _live_counts(_live(spark, sf_dir, _LIVE, False, True))
+
+
+def live_closure(spark, sf_dir):
+    """A repeated path over quads that come and go."""
+    q = LiveQuery(spark, PREFIXES + "SELECT ?a ?b { ?a (c:c_nationkey|n:n_regionkey)+ ?b }")
+    nations = _table_quads(spark, sf_dir, "nation").where("p = 'Iurn:nation#n_regionkey'").withColumn("w", F.lit(1))
+    q.push(nations)
+    q.push(_table_quads(spark, sf_dir, "customer").where("p = 'Iurn:customer#c_nationkey' AND s LIKE '%7'").withColumn("w", F.lit(1)))
+    q.push(nations.where("s LIKE '%:1_'").withColumn("w", F.lit(-1)))
+    return q.results().select(F.substring("a", 2, 100).alias("a"), F.substring("b", 2, 100).alias("b"), F.col("n").alias("times"))
+
+
 def _live_counts(counts: DataFrame) -> DataFrame:
     return counts.select(F.col("name").alias("n"), F.col("n").alias("times"))
 
@@ -239,6 +395,23 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "update_data": (update_data, "SELECT 'urn:region:' || r_regionkey AS x, r_name AS n FROM region WHERE NOT (r_regionkey = 0 AND r_name = 'AFRICA') UNION ALL SELECT 'urn:region:9', 'NOWHERE'"),
     "as_of": (as_of, "SELECT user_id, event_id, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "versioned_as_of": (versioned_as_of, "SELECT 'urn:user:' || user_id AS u, event_type AS t FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "scan_wildcard": (scan_wildcard, f"SELECT 'Iurn:nation:' || n_nationkey AS s, '{_NAME}' || n_name AS o FROM nation"),
+    "scan_same_variable": (scan_same_variable, "SELECT 'urn:customer:' || c_custkey AS x, 'urn:like' AS p FROM customer WHERE c_custkey % 5 = 0"),
+    "filter_lang": (filter_lang, "SELECT 'urn:nation:' || n_nationkey AS x, n_name AS n FROM nation WHERE n_nationkey % 3 = 0"),
+    "filter_langmatches": (filter_langmatches, "SELECT 'urn:nation:' || n_nationkey AS x, n_name AS name FROM nation WHERE n_nationkey % 3 < 2"),
+    "built_graph": (built_graph, "SELECT i::VARCHAR AS i, '1.5' AS lat FROM range(1, 4) t(i)"),
+    "ntriples_escapes": (ntriples_escapes, "SELECT 'urn:part:' || p_partkey AS x, p_name || '\"\\ ' || chr(10) || chr(9) || chr(13) || 'é ' || p_type AS o FROM part"),
+    "trig_round_trip": (trig_round_trip, "SELECT 'urn:supplier:' || s_suppkey AS x, s_name AS n, 'urn:nation:' || s_nationkey AS g FROM supplier"),
+    "results_document": (results_document, "SELECT 'urn:region:' || r_regionkey AS x, r_name AS n FROM region"),
+    "endpoint_query": (endpoint_query, "SELECT 'urn:region:' || r_regionkey AS x, r_name AS n FROM region WHERE NOT (r_regionkey = 0 AND r_name = 'AFRICA') UNION ALL SELECT 'urn:region:9', 'NOWHERE'"),
+    "versioned_ties": (versioned_ties, "SELECT 'urn:user:' || user_id AS u, event_type AS t FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "versioned_one": (versioned_one, "SELECT user_id AS u, event_type AS t FROM events WHERE user_id = 7 AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 1"),
+    "versioned_as_rdf": (versioned_as_rdf, "SELECT 'urn:user:' || user_id AS u, event_type AS t FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "live_checked": (live_checked, _LIVE_SQL),
+    "live_closure": (
+        live_closure,
+        "WITH n AS (SELECT 'urn:nation:' || n_nationkey AS a, 'urn:region:' || n_regionkey AS b FROM nation WHERE n_nationkey NOT BETWEEN 10 AND 19), c AS (SELECT 'urn:customer:' || c_custkey AS a, 'urn:nation:' || c_nationkey AS b FROM customer WHERE c_custkey % 10 = 7) SELECT a, b, 1::BIGINT AS times FROM n UNION ALL SELECT a, b, 1 FROM c UNION ALL SELECT c.a, n.b, 1 FROM c JOIN n ON c.b = n.a",
+    ),
     "snapshot_diff": (snapshot_diff, "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN 1 ELSE -1 END AS w FROM orders WHERE (o_orderkey % 3 <> 0) <> (o_orderkey % 5 <> 0)"),
     "snapshot_store": (snapshot_store, "SELECT n_nationkey AS n, CASE WHEN n_nationkey BETWEEN 10 AND 19 THEN 1 ELSE -1 END AS w FROM nation WHERE n_nationkey >= 10"),
     "live_join": (live_join, _LIVE_SQL),

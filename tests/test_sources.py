@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quadrille.endpoint import Endpoint, serve
 from quadrille.graph import Graph
 from quadrille.plans.parser import QueryError
-from quadrille.sources import ntriples, results, turtle
+from quadrille.sources import n3, ntriples, results, turtle
 from quadrille.sources.quads import SCHEMA
 from quadrille.streaming.incremental import LiveQuery, branches, is_linear
 from quadrille.streaming.versioned import SnapshotStore, VersionedStream, diff
@@ -119,6 +119,35 @@ def test_endpoint(spark, mixed):
         server.shutdown()
 
 
+def test_formatters(spark, mixed):
+    rows = [r.value for r in turtle.documents(mixed, {"e": "http://e/"}, pretty=False).collect()]
+    assert all("\n" not in r for r in rows) and any(" ; " in r for r in rows)
+    again = [q for r in rows for q in turtle.parse("@prefix e: <http://e/> . " + r)]
+    assert len(again) == mixed.distinct().count()
+    assert any(";\n\t\t" in r.value for r in turtle.documents(mixed, indent="\t\t").collect())
+
+
+def test_n3(spark):
+    rows = quads(spark, [(E("a"), E("says"), E("g")), (E("b"), E("p"), literal(1), E("g")), (E("h"), E("q"), literal(2), E("g")), (E("c"), E("r"), E("d"), E("h"))])
+    assert [r.value for r in n3.documents(rows).collect()] == ["<http://e/a> <http://e/says> { <http://e/b> <http://e/p> " + '"1"^^<http://www.w3.org/2001/XMLSchema#integer> . { <http://e/c> <http://e/r> <http://e/d> . } <http://e/q> "2"^^<http://www.w3.org/2001/XMLSchema#integer> . } .']
+    with pytest.raises(ValueError):
+        n3.documents(quads(spark, [(E("a"), E("p"), E("g")), (E("g"), E("p"), E("x"), E("g"))]))
+
+
+def test_statements_in_a_string(spark):
+    got = ntriples.parse(spark, '<http://e/a> <http://e/p> "x\\ny"@EN .\n# nothing\n\n_:b <http://e/p> <http://e/c> <http://e/g> .')
+    assert {(r.s[0], r.o, r.g) for r in got.collect()} == {("I", "@en|x\ny", None), ("B", "Ihttp://e/c", "Ihttp://e/g")}
+
+
+def test_follow_and_tabulate(spark):
+    graph = Graph.of_quads(quads(spark, [(E("a"), E("p"), literal(1)), (E("b"), E("p"), literal("two"))]))
+    seen = []
+    graph.follow("SELECT ?s ?o ?none { ?s <http://e/p> ?o }", lambda w, row: seen.append((w, row["s"], row["o"], len(row))))
+    assert sorted(seen, key=repr) == [(1, E("a"), literal(1), 2), (1, E("b"), literal("two"), 2)]
+    lines = graph.tabulate("SELECT ?s ?o ?none { ?s <http://e/p> ?o } ORDER BY ?s", order=("o",)).split("\n")
+    assert [x.strip() for x in lines[0].split(" | ")] == ["#", "o", "s", "none"] and lines[2].startswith('2 | "two"') and len({len(x) for x in lines}) == 1
+
+
 # live queries
 def changes(spark, rows):
     return spark.createDataFrame([(key(E(s)), key(E(p)), key(o if not isinstance(o, str) else E(o)), None, w) for s, p, o, w in rows], SCHEMA + ", w bigint")
@@ -174,6 +203,61 @@ def test_deferred_and_repeated_batches(spark):
     assert [tuple(r) for r in live.results().collect()] == [("Ihttp://e/a", "Ihttp://e/c", 1)]
 
 
+def test_a_failed_batch_comes_again(spark, monkeypatch):
+    """What fails while it is written leaves the state as it was; the batch's second attempt counts."""
+    live = LiveQuery(spark, QUERIES["join"])
+    live.push(changes(spark, [("b", "q", "c", 1)]), 6)
+    log, calls = LiveQuery._log, []
+
+    def broken(self, df, what):
+        calls.append(what)
+        if what == "result-changes":
+            raise OSError("disk full")
+        return log(self, df, what)
+
+    monkeypatch.setattr(LiveQuery, "_log", broken)
+    with pytest.raises(OSError):
+        live.push(changes(spark, [("a", "p", "b", 1)]), 7)
+    monkeypatch.setattr(LiveQuery, "_log", log)
+    assert live.epoch == 6 and "result-changes" in calls
+    assert [tuple(r) for r in live.push(changes(spark, [("a", "p", "b", 1)]), 7).collect()] == [("Ihttp://e/a", "Ihttp://e/c", 1)]
+    assert live.results().count() == 1 and live.epoch == 7
+
+
+def test_state_outlives_the_query(spark, tmp_path):
+    """A new query over the same checkpoint goes on with the store and the results that were there."""
+    folder, at = str(tmp_path / "in"), str(tmp_path / "at")
+    changes(spark, [("a", "p", "b", 1), ("b", "q", "c", 1)]).coalesce(1).write.parquet(folder)
+    stream = lambda: spark.readStream.schema(SCHEMA + ", w bigint").parquet(folder)
+    first = LiveQuery(spark, QUERIES["join"])
+    q = first.subscribe(stream(), at)
+    q.processAllAvailable()
+    q.stop()
+    changes(spark, [("x", "p", "b", 1)]).coalesce(1).write.mode("append").parquet(folder)
+    second = LiveQuery(spark, QUERIES["join"])
+    q = second.subscribe(stream(), at)
+    try:
+        q.processAllAvailable()
+        assert sorted(r.a for r in second.results().collect()) == ["Ihttp://e/a", "Ihttp://e/x"]
+    finally:
+        q.stop()
+
+
+def test_logs_are_merged(spark):
+    """Many small batches: the store stays a few tables, and old ones are deleted."""
+    live = LiveQuery(spark, QUERIES["join"])
+    for k in range(4):
+        live.push(changes(spark, [(f"a{k}", "p", "b", 1), (f"b{k}", "q", "c", 1), ("b", "q", f"c{k}", 1)]))
+    assert live.store.count() == 12 and len(live.state.store) < 4
+    assert sum(r.n for r in live.results().collect()) == 16
+
+
+def test_counts_beside_a_variable_of_that_name(spark):
+    live = LiveQuery(spark, "SELECT ?n { ?n <http://e/p> ?b }")
+    live.push(changes(spark, [("a", "p", "b", 1), ("a", "p", "c", 1)]))
+    assert [tuple(r) for r in live.results().collect()] == [("Ihttp://e/a", 2)] and live.n == "_n"
+
+
 def test_follows_a_stream(spark, tmp_path):
     live = LiveQuery(spark, QUERIES["join"])
     folder = str(tmp_path / "in")
@@ -205,6 +289,37 @@ def test_versioned_stream(spark):
     assert {r.id for r in s.members.collect()} == {"Ihttp://e/a_v0", "Ihttp://e/a_v1", "Ihttp://e/a_v2", "Ihttp://e/b_v0"}
 
 
+def test_stream_as_rdf(spark):
+    s = VersionedStream(spark)
+    s.append(versions(spark, [("a", "2024-01-01", 1), ("a", "2024-01-03", 2), ("b", "2024-01-02", 3)]))
+    rdf = s.to_quads("http://e/stream", "http://e/at", "http://e/of")
+    assert rdf.where("p = 'Ihttps://w3id.org/tree#member'").count() == 3
+    back = VersionedStream.of_quads(spark, rdf, "http://e/stream")
+    assert sorted(map(tuple, back.as_of("2024-01-02").select("s", "p", "o").collect())) == sorted(map(tuple, s.as_of("2024-01-02").select("s", "p", "o").collect()))
+    with pytest.raises(ValueError):
+        VersionedStream.of_quads(spark, rdf, "http://e/other")
+
+
+def test_clusters_and_transforms_of_ones_own(spark):
+    """Snapshots by the first letter of subjects; content marked instead of put into graphs."""
+
+    class Marked:
+        def encode(self, content):
+            return content.select("s", "p", "o", F.concat(F.lit("Ihttp://mark/"), "id").alias("g"))
+
+        def decode(self, quads, ids):
+            return quads.join(ids.select(F.concat(F.lit("Ihttp://mark/"), "id").alias("_g")), F.col("g") == F.col("_g"), "left_semi")
+
+    store = SnapshotStore(spark, "2024-01-01 00:00:00", lambda: F.substring("s", 1, 11))
+    store.stream.transform = Marked()
+    a = quads(spark, [(E("a1"), E("v"), literal(1)), (E("a2"), E("v"), literal(1)), (E("b1"), E("v"), literal(1))]).select("s", "p", "o")
+    b = quads(spark, [(E("a1"), E("v"), literal(1)), (E("a2"), E("v"), literal(2)), (E("b1"), E("v"), literal(1))]).select("s", "p", "o")
+    store.add(a)
+    store.add(b)
+    assert store.stream.members.count() == 3  # the cluster of a1 and a2 has two versions, that of b1 one
+    assert sorted(map(tuple, store.snapshot(1).collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_snapshots(spark):
     states = [[("a", 1), ("b", 1)], [("a", 1), ("b", 2), ("c", 3)], [("b", 2)]]
     store = SnapshotStore(spark, "2024-01-01 00:00:00")
