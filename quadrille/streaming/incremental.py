@@ -3,8 +3,10 @@
 Changes are rows (s, p, o, g, w) with w = 1 for an addition and -1 for a removal. The store is a set: adding what is there and
 removing what isn't there changes nothing. Results are a bag: rows with counts. For queries that are linear in each pattern (joins,
 filters, unions, paths without repetition) a batch of changes costs one plan a pattern, in which that pattern is read from the
-changes alone; the new store stands for the patterns before it and the old one for those after it. Any other query is worked out
-again over the new store, and its counts are compared with those before.
+changes alone; the new store stands for the patterns before it and the old one for those after it. A query with one FILTER [NOT] EXISTS
+beside such patterns keeps counts of what the filter's group has for each binding of the variables that it shares: solutions come and
+go where a count leaves 0 or falls to it. Any other query is worked out again over the new store, and its counts are compared with
+those before.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.operators.frames import Frame
-from quadrille.plans.algebra import Alternative, Bind, Filter, Exists, Group, Inverse, Not, Select, Sequence, Step, Triple, Union, Values
+from quadrille.plans.algebra import Alternative, Bind, Exists, Filter, Group, Inverse, Not, Select, Sequence, Step, Triple, Union, Values, mentioned, visible
 from quadrille.plans.parser import parse
 from quadrille.plans.planner import Planner
 from quadrille.sources.quads import SCHEMA, QuadSource
@@ -56,23 +59,52 @@ def _plain_path(p) -> bool:
     return False
 
 
+def _linear_part(part) -> bool:
+    match part:
+        case Triple(_, p, _, _):
+            return _plain_path(p)
+        case Filter(e):
+            return not isinstance(e, Exists)
+        case Bind() | Values():
+            return True
+        case Group(parts):
+            return all(map(_linear_part, parts))
+        case Union(groups):
+            return all(map(_linear_part, groups))
+    return False
+
+
+def _plain_query(q: Select) -> bool:
+    return not (q.distinct or q.ask or q.group_by or q.having or q.order_by or q.limit is not None or q.offset) and all(o.expression is None for o in q.outputs or [])
+
+
 def is_linear(q: Select) -> bool:
-    def ok(part) -> bool:
-        match part:
-            case Triple(_, p, _, _):
-                return _plain_path(p)
-            case Filter(e):
-                return not isinstance(e, Exists)
-            case Bind() | Values():
-                return True
-            case Group(parts):
-                return all(map(ok, parts))
-            case Union(groups):
-                return all(map(ok, groups))
-        return False
+    return _plain_query(q) and _linear_part(q.body)
 
-    plain = not (q.distinct or q.ask or q.group_by or q.having or q.order_by or q.limit is not None or q.offset)
-    return plain and ok(q.body) and all(o.expression is None for o in q.outputs or [])
+
+@dataclass(frozen=True)
+class Guard:
+    """A query that is linear but for one [NOT] EXISTS: its other patterns, the filter's group, and the variables that both bind."""
+
+    outer: Group
+    inner: Group
+    shared: tuple[str, ...]
+    negated: bool
+
+
+def guarded(q: Select) -> Guard | None:
+    tests = [p.expression if isinstance(p, Filter) else p for p in q.body.parts if isinstance(p, Exists) or isinstance(p, Filter) and isinstance(p.expression, Exists)]
+    rest = tuple(p for p in q.body.parts if not (isinstance(p, Exists) or isinstance(p, Filter) and isinstance(p.expression, Exists)))
+    if len(tests) != 1 or not _plain_query(q) or not all(map(_linear_part, (*rest, *tests[0].group.parts))):
+        return None
+    sure = lambda parts: {v for p in parts if isinstance(p, Triple) for v in visible(p)}
+    inner = tests[0].group
+    own = set(visible(inner))
+    shared = own & set(visible(q.body))
+    outside = {v for p in inner.parts if isinstance(p, Filter) for v in mentioned(p.expression)} - own
+    if outside or not shared <= sure(rest) & sure(inner.parts):  # a filter looks outside, or something may be unbound
+        return None
+    return Guard(Group(rest), inner, tuple(sorted(shared)), tests[0].negated)
 
 
 def branches(g: Group) -> list[Group]:
@@ -124,11 +156,12 @@ class _Turn:
 @dataclass(frozen=True)
 class State:
     """What a live query has taken in: the last epoch, and tables (path, rows) that are read together. store: quads with w; counts:
-    result rows with n; waiting: changes not yet applied."""
+    result rows with n; keys: bindings that an EXISTS has solutions for, with n; waiting: changes not yet applied."""
 
     epoch: int = -1
     store: tuple[tuple[str, int], ...] = ()
     counts: tuple[tuple[str, int], ...] = ()
+    keys: tuple[tuple[str, int], ...] = ()
     waiting: tuple[tuple[str, int], ...] = ()
 
     def to_json(self) -> str:
@@ -151,7 +184,7 @@ class LiveQuery:
     def __init__(self, spark: SparkSession, query: str, deferred: bool = False, checked: bool = False, folder: str | None = None):
         self.spark, self.query, self.deferred, self.checked = spark, parse(query), deferred, checked
         self.names = self.query.variables
-        self.linear = is_linear(self.query)
+        self.linear, self.guard = is_linear(self.query), guarded(self.query)
         #: The column that says how often a result is there: n, or _n and so on where a variable has that name.
         self.n = "n"
         while self.n in (x.lower() for x in self.names):
@@ -161,7 +194,7 @@ class LiveQuery:
         self.state = State()
         if folder is not None:
             self.keep(folder)
-        if not self.linear and not self.state.counts and self.state.epoch < 0:
+        if not self.linear and self.guard is None and not self.state.counts and self.state.epoch < 0:
             # some queries have solutions over no data at all
             empty = spark.createDataFrame([], SCHEMA)
             self.state = replace(self.state, counts=self._log(self._counted(self._keys(Planner(QuadSource(empty)).select(self.query)).withColumn(self.n, F.lit(1).cast("bigint"))), "live-results"))
@@ -259,21 +292,11 @@ class LiveQuery:
             # sorted by predicate and subject: a scan for either skips what it doesn't need
             log = self._log(consolidated(self._read(log, WEIGHTED)).repartitionByRange("p", "s").sortWithinPartitions("p", "s"), "store")
         new = self._read(log, WEIGHTED)
+        keys = self.state.keys
         if self.linear:
-            a = QuadSource(old if old is not None else self.spark.createDataFrame([], WEIGHTED), "w")
-            d = QuadSource(changes, "w")
-            b = QuadSource(new if new is not None else self.spark.createDataFrame([], WEIGHTED), "w")
-            parts = []
-            for g in branches(self.query.body):
-                first = _Turn(a, d, b, -1)
-                Planner(first).group(g)
-                for i in range(first.n):
-                    if i + 1 < first.n and old is None:
-                        continue  # a later pattern would see the empty store
-                    parts.append(self._keys(Planner(_Turn(a, d, b, i)).select(Select(self.query.outputs, g))))
-            delta = parts[0] if parts else empty
-            for p in parts[1:]:
-                delta = delta.union(p)
+            delta = self._delta(self.query.body, self.names, (), old, changes, new)
+        elif self.guard is not None:
+            delta, keys = self._guarded(old, changes, new)
         else:
             store = self.spark.createDataFrame([], SCHEMA) if new is None else (consolidated(new) if len(log) > 1 else new).select(*QUAD)
             now = self._keys(Planner(QuadSource(store, distinct=False)).select(self.query)).withColumn(self.n, F.lit(1).cast("bigint"))
@@ -284,9 +307,63 @@ class LiveQuery:
             counts = self._log(self._counted(self._read(counts, self.kind)), "live-results")
         if self.checked and counts and self._counted(self._read(counts, self.kind)).where(F.col(self.n) < 0).head(1):
             raise AssertionError("a result is there fewer than 0 times")
-        self._settle(State(epoch, log, counts))
+        self._settle(State(epoch, log, counts, keys))
         return self._read(change, self.kind) if change else empty
 
+    def _part(self, source, group: Group, names, shared) -> DataFrame:
+        """Solutions of a group: columns of names, of shared variables (_k0, ...), and how often."""
+        f = Planner(source).group(group)
+        cols = [f.vars[n].key().alias(n) if n in f.vars else F.lit(None).cast("string").alias(n) for n in names]
+        cols += [f.vars[n].key().alias(f"_k{i}") for i, n in enumerate(shared)]
+        return f.table(self.spark).select(*cols, (F.col(f.weight) if f.weight else F.lit(1)).cast("bigint").alias(self.n))
+
+    def _delta(self, group: Group, names, shared, old: DataFrame | None, changes: DataFrame, new: DataFrame | None) -> DataFrame:
+        """What changes in the solutions of a linear group: a plan a pattern, in which that one sees the changes alone."""
+        none = self.spark.createDataFrame([], WEIGHTED)
+        a, d, b = QuadSource(none if old is None else old, "w"), QuadSource(changes, "w"), QuadSource(none if new is None else new, "w")
+        parts = []
+        for g in branches(group):
+            first = _Turn(a, d, b, -1)
+            Planner(first).group(g)
+            for i in range(first.n):
+                if i + 1 == first.n or old is not None:  # else a later pattern would see the empty store
+                    parts.append(self._part(_Turn(a, d, b, i), g, names, shared))
+        if not parts:
+            kind = ", ".join([*(f"`{n}` string" for n in (*names, *(f"_k{i}" for i in range(len(shared))))), f"{self.n} bigint"])
+            return self.spark.createDataFrame([], kind)
+        return reduce(DataFrame.union, parts)
+
+    def _guarded(self, old: DataFrame | None, changes: DataFrame, new: DataFrame | None):
+        """The change of the result, and the new keys: A changed, by the filter as it is now; and A as it was, where the filter changed."""
+        g, n = self.guard, self.n
+        by = [f"_k{i}" for i in range(len(g.shared))]
+        kind = ", ".join([*(f"{k} string" for k in by), "one int", f"{n} bigint"])
+        added = lambda df: df.groupBy(*by, "one").agg(F.sum(n).cast("bigint").alias(n)).where(F.col(n) != 0)
+        moved = self._log(added(self._delta(g.inner, (), g.shared, old, changes, new).withColumn("one", F.lit(1)).select(*by, "one", n)), "keys")
+        before = self.state.keys
+        keys = before + moved
+        if self._long(keys):
+            keys = self._log(added(self._read(keys, kind)), "keys")
+        none = self.spark.createDataFrame([], kind)
+        at = lambda log: self._read(log, kind) if log else none
+        on = [*by, "one"]
+        # which of these bindings have solutions
+        there = lambda log, some: added(at(log).join(some.select(*on).distinct(), on, "left_semi")).where(F.col(n) > 0).select(*on)
+        how = "left_anti" if g.negated else "left_semi"
+        fresh_ = self._delta(g.outer, self.names, g.shared, old, changes, new).withColumn("one", F.lit(1))
+        fresh_ = self._read(rows, ", ".join([*(f"`{x}` string" for x in (*self.names, *by)), f"{n} bigint", "one int"])) if (rows := self._log(fresh_, "outer")) else None
+        delta = self.spark.createDataFrame([], self.kind)
+        if fresh_ is not None:
+            delta = fresh_.join(there(keys, fresh_), on, how).select(*(F.col(f"`{x}`") for x in self.names), n)
+        if moved and old is not None:
+            touched = self._read(moved, kind)
+            was, now = there(before, touched), there(keys, touched)
+            turned = now.join(was, on, "left_anti").withColumn("t", F.lit(1)).union(was.join(now, on, "left_anti").withColumn("t", F.lit(-1)))
+            whole = self._part(QuadSource(old, "w"), g.outer, self.names, g.shared).withColumn("one", F.lit(1))
+            sign = -1 if g.negated else 1
+            delta = delta.union(whole.join(turned, on).select(*(F.col(f"`{x}`") for x in self.names), (F.col(n) * F.col("t") * sign).alias(n)))
+        return delta, keys
+
     def results(self) -> DataFrame:
         """The results as they are now: a column a variable, of term keys, and n (or self.n), how often."""
         if self.state.waiting:

@@ -159,6 +159,9 @@ QUERIES = {
     "union": "SELECT * { { ?a <http://e/p> ?b } UNION { ?b (<http://e/q>|<http://e/p>) ?a } ?b ?any ?x }",
     "closure": "SELECT * { ?a <http://e/p>+ ?b }",
     "absent": "SELECT ?a { ?a <http://e/p> ?b FILTER NOT EXISTS { ?b <http://e/q> ?c } }",
+    "present": "SELECT ?a ?b { ?a <http://e/p> ?b FILTER EXISTS { ?b <http://e/q> ?c . ?c <http://e/p> ?d } }",
+    "anything": "SELECT ?a { ?a <http://e/p> ?b FILTER EXISTS { ?x <http://e/q> ?y } }",
+    "correlated": "SELECT ?a { ?a <http://e/p> ?b FILTER NOT EXISTS { ?a <http://e/q> ?c FILTER(?c = ?b) } }",
     "optional": "SELECT ?a ?c { ?a <http://e/p> ?b OPTIONAL { ?b <http://e/q> ?c } }",
 }
 
@@ -169,6 +172,7 @@ def test_live_equals_batch(spark, name):
     r = random.Random(name)
     assert is_linear(parse(QUERIES[name])) == (name in ("join", "self", "union"))
     live = LiveQuery(spark, QUERIES[name], checked=True)
+    assert (live.guard is not None) == (name in ("absent", "present", "anything"))
     store = set()
     for _ in range(3):
         batch = []
