@@ -11,6 +11,7 @@ from quadrille.build import Builder
 from quadrille.endpoint import Endpoint
 from quadrille.graph import Graph
 from quadrille.sources import ntriples, results, turtle
+from quadrille.sources.quads import read_store, write_store
 from quadrille.sources.tables import TPCH, TableSource
 from quadrille.storage import fresh_path
 from quadrille.streaming.incremental import LiveQuery
@@ -177,6 +178,13 @@ def quads_lookup(spark, sf_dir):
     return _plain(Graph.of_quads(quads), "SELECT ?n ?r { ?x n:n_name ?n ; n:n_regionkey/r:r_name ?r }")
 
 
+def quads_store(spark, sf_dir):
+    """Patterns on a store on disk, whose scans read what they need."""
+    path = fresh_path(spark, "store")
+    write_store(_table_quads(spark, sf_dir, "customer").union(_table_quads(spark, sf_dir, "nation")), path)
+    return _plain(Graph(read_store(spark, path)), "SELECT ?name ?n { ?x c:c_nationkey ?na ; c:c_name ?name . ?na n:n_name ?n }")
+
+
 def scan_wildcard(spark, sf_dir):
     """All quads with one predicate, any subject and object."""
     return Graph.of_quads(_table_quads(spark, sf_dir, "nation")).scan(p=Iri("urn:nation#n_name")).select("s", "o")
@@ -395,6 +403,7 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "update_data": (update_data, "SELECT 'urn:region:' || r_regionkey AS x, r_name AS n FROM region WHERE NOT (r_regionkey = 0 AND r_name = 'AFRICA') UNION ALL SELECT 'urn:region:9', 'NOWHERE'"),
     "as_of": (as_of, "SELECT user_id, event_id, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "versioned_as_of": (versioned_as_of, "SELECT 'urn:user:' || user_id AS u, event_type AS t FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "quads_store": (quads_store, "SELECT c_name AS name, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "scan_wildcard": (scan_wildcard, f"SELECT 'Iurn:nation:' || n_nationkey AS s, '{_NAME}' || n_name AS o FROM nation"),
     "scan_same_variable": (scan_same_variable, "SELECT 'urn:customer:' || c_custkey AS x, 'urn:like' AS p FROM customer WHERE c_custkey % 5 = 0"),
     "filter_lang": (filter_lang, "SELECT 'urn:nation:' || n_nationkey AS x, n_name AS n FROM nation WHERE n_nationkey % 3 = 0"),

@@ -12,6 +12,18 @@ from quadrille.terms import Iri, Term, key, key_of_struct, literal, struct_of
 SCHEMA = "s string, p string, o string, g string"
 
 
+def write_store(quads: DataFrame, path: str) -> None:
+    """Quads as a store: Parquet in order of predicate, subject and object, so that scans for one predicate or subject skip the files
+    and row groups of all others by their statistics."""
+    rows = quads.select("s", "p", "o", "g").distinct()
+    rows.repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o").write.parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> QuadSource:
+    """The source of a store; its rows are distinct already, so no pattern shuffles it."""
+    return QuadSource(spark.read.schema(SCHEMA).parquet(path), distinct=False)
+
+
 class QuadSource:
     """Quads as a set. weight: a column of multiplicities, for changes; then rows aren't made distinct."""
 
