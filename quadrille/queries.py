@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quadrille.build import Builder
 from quadrille.endpoint import Endpoint
 from quadrille.graph import Graph
-from quadrille.sources import ntriples, results, turtle
+from quadrille.sources import n3, ntriples, results, turtle
 from quadrille.sources.quads import read_store, write_store
 from quadrille.sources.tables import TPCH, TableSource
 from quadrille.storage import fresh_path
@@ -243,6 +243,28 @@ def results_document(spark, sf_dir):
     return results.from_json(spark, text).select(F.col("x.value").alias("x"), F.col("n.value").alias("n"))
 
 
+def n3_documents(spark, sf_dir):
+    """What each region says: a list of statements about its nations, written as N3."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    list_ = F.concat(F.lit("Iurn:list:"), "n_regionkey")
+    said = nations.select(F.concat(F.lit("Iurn:nation:"), "n_nationkey").alias("s"), F.lit("Iurn:name").alias("p"), F.concat(F.lit(_NAME), "n_name").alias("o"), list_.alias("g"))
+    says = nations.select(F.concat(F.lit("Iurn:region:"), "n_regionkey").alias("s"), F.lit("Iurn:says").alias("p"), list_.alias("o"), F.lit(None).cast("string").alias("g")).distinct()
+    return n3.documents(said.union(says))
+
+
+def tabulated(spark, sf_dir):
+    """The lines of a table of text."""
+    text = Graph.of_tables(spark, sf_dir).tabulate(PREFIXES + "SELECT ?n ?x { ?x r:r_name ?n } ORDER BY ?n", order=("x",))
+    return spark.createDataFrame([(line,) for line in text.split("\n")], "line string")
+
+
+def followed(spark, sf_dir):
+    """Solutions as the changes that a callback gets."""
+    rows: list[tuple] = []
+    Graph.of_tables(spark, sf_dir).follow(PREFIXES + "SELECT ?x ?n { ?x n:n_name ?n }", lambda w, b: rows.append((w, b["x"].value, b["n"].value)))
+    return spark.createDataFrame(rows, "w int, x string, n string")
+
+
 def endpoint_query(spark, sf_dir):
     """A remembered query of the endpoint, asked again after an update."""
     point = Endpoint(_table_quads(spark, sf_dir, "region"))
@@ -411,6 +433,16 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "built_graph": (built_graph, "SELECT i::VARCHAR AS i, '1.5' AS lat FROM range(1, 4) t(i)"),
     "ntriples_escapes": (ntriples_escapes, "SELECT 'urn:part:' || p_partkey AS x, p_name || '\"\\ ' || chr(10) || chr(9) || chr(13) || 'é ' || p_type AS o FROM part"),
     "trig_round_trip": (trig_round_trip, "SELECT 'urn:supplier:' || s_suppkey AS x, s_name AS n, 'urn:nation:' || s_nationkey AS g FROM supplier"),
+    "n3_documents": (
+        n3_documents,
+        """SELECT '<urn:region:' || n_regionkey || '> <urn:says> { ' || string_agg('<urn:nation:' || n_nationkey || '> <urn:name> "' || n_name || '" .', ' ' ORDER BY '<urn:nation:' || n_nationkey || '> <urn:name> "' || n_name || '" .') || ' } .' AS value FROM nation GROUP BY n_regionkey""",
+    ),
+    "tabulated": (
+        tabulated,
+        """SELECT '# | x' || repeat(' ', 13) || ' | ' || rpad('n', (max(length(r_name)) + 2)::INT, ' ') AS line FROM region
+        UNION ALL SELECT row_number() OVER (ORDER BY r_name) || ' | <urn:region:' || r_regionkey || '> | ' || rpad('"' || r_name || '"', ((SELECT max(length(r_name)) FROM region) + 2)::INT, ' ') FROM region""",
+    ),
+    "followed": (followed, "SELECT 1 AS w, 'urn:nation:' || n_nationkey AS x, n_name AS n FROM nation"),
     "results_document": (results_document, "SELECT 'urn:region:' || r_regionkey AS x, r_name AS n FROM region"),
     "endpoint_query": (endpoint_query, "SELECT 'urn:region:' || r_regionkey AS x, r_name AS n FROM region WHERE NOT (r_regionkey = 0 AND r_name = 'AFRICA') UNION ALL SELECT 'urn:region:9', 'NOWHERE'"),
     "versioned_ties": (versioned_ties, "SELECT 'urn:user:' || user_id AS u, event_type AS t FROM events WHERE ts <= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
