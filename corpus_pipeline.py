@@ -1,4 +1,11 @@
-"""From documents to packed training sequences: each stage works on all that the one before it kept."""
+"""From documents to packed training sequences: each stage works on all that the one before it kept.
+
+Defined results of run(). A null text is rejected by the classifier; an empty one may pass, counts as a copy of other empty ones, and has no
+tokens to pack. A null doc_id is no copy of anything, comes after all others where repeats are cut, and is packed with a null in doc_ids.
+Very long texts are scored, compared and cut whole, and packed in pieces. Of copies and repeated rows the one with the smallest doc_id stays;
+of repeated passages the first in order of doc_id. Without labels of both kinds nothing but null texts is rejected. An empty table gives no
+row. Columns other than doc_id, text and n_chars pass through until the last stage, whatever their names; that one returns sequences.
+"""
 
 from __future__ import annotations
 
