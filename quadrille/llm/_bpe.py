@@ -72,11 +72,15 @@ def pretokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Table:
-    """Open addressing from 64-bit keys (0 is none) to int32."""
+    """Open addressing from 64-bit keys (0 is none) to int32, with room for so many keys."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.mask = np.uint64((1 << max(4, (len(keys) * 4).bit_length())) - 1)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        self.mask = np.uint64((1 << max(4, (max(len(keys), room) * 4).bit_length())) - 1)
         self.keys, self.values = np.zeros(int(self.mask) + 1, np.uint64), np.full(int(self.mask) + 1, NONE, np.int32)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that aren't there yet."""
         left = np.arange(len(keys))
         slot = keys & self.mask
         while len(left):
@@ -101,6 +105,34 @@ class Table:
         return out
 
 
+class Pieces:
+    """Token ids of pieces that were merged before, up to ROOM of them: most come again."""
+
+    ROOM = 1 << 17
+
+    def __init__(self):
+        none = np.zeros(0, np.int32)
+        self.table, self.n, self.used = Table(np.zeros(0, np.uint64), none, self.ROOM), 0, 0
+        self.starts, self.counts, self.ids = np.zeros(self.ROOM, np.int64), np.zeros(self.ROOM, np.int64), np.zeros(4 * self.ROOM, np.int32)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+        k = min(len(keys), self.ROOM - self.n)
+        k = min(k, int(np.searchsorted(offsets, len(self.ids) - self.used, side="right")) - 1)
+        if k <= 0:
+            return
+        self.table.add(keys[:k], np.arange(self.n, self.n + k, dtype=np.int32))
+        self.starts[self.n : self.n + k] = self.used + offsets[:k]
+        self.counts[self.n : self.n + k] = np.diff(offsets[: k + 1])
+        self.ids[self.used : self.used + offsets[k]] = ids[: offsets[k]]
+        self.n, self.used = self.n + k, self.used + int(offsets[k])
+
+
+def taken(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after another."""
+    at = np.cumsum(counts) - counts
+    return flat[np.arange(int(counts.sum())) + np.repeat(starts - at, counts)]
+
+
 def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed((a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64) + np.uint64(1))
 
@@ -126,6 +158,7 @@ class Vocabulary:
         ids, offsets = self.merged(self.data, self.starts, self.starts + self.sizes)
         self.alone = np.flatnonzero((np.diff(offsets) == 1) & (self.sizes > 0))
         assert (ids[offsets[self.alone]] == self.alone).all()
+        self.pieces = Pieces()
         self.whole = Table(self.hashes(self.data, self.starts[self.alone], (self.starts + self.sizes)[self.alone]), self.alone.astype(np.int32))
 
     @staticmethod
@@ -227,10 +260,20 @@ class Vocabulary:
         keys = self.hashes(data, starts, ends)
         one = self.whole.get(keys)
         rest = np.flatnonzero(one == NONE)
-        _, first, which = np.unique(keys[rest], return_index=True, return_inverse=True)
+        own, first, which = np.unique(keys[rest], return_index=True, return_inverse=True)
         piece = np.full(len(starts), -1, np.int64)
         piece[rest] = which
-        return one, piece, self.merged(data, starts[rest[first]], ends[rest[first]])
+        known = self.pieces.table.get(own)
+        old, new = np.flatnonzero(known != NONE), np.flatnonzero(known == NONE)
+        ids, offsets = self.merged(data, starts[rest[first[new]]], ends[rest[first[new]]])
+        counts, begin = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        counts[old], begin[old] = self.pieces.counts[known[old]], self.pieces.starts[known[old]] + len(ids)
+        counts[new], begin[new] = np.diff(offsets), offsets[:-1]
+        out = taken(np.concatenate((ids, self.pieces.ids[: self.pieces.used])), begin, counts)
+        self.pieces.add(own[new], ids, offsets)
+        at = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(counts, out=at[1:])
+        return one, piece, (out, at)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of each row of ids, and their offsets."""

@@ -16,14 +16,17 @@ not read, whatever their names.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import release
-from .byte_bpe import encode
+from ._bpe import VOCABULARY, vocabulary
+from .byte_bpe import _encode
 
 CAPACITY = 2048
 #: Text that the documents of a shard should have, in bytes.
@@ -62,13 +65,31 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bin_of, offset, np.array(room, np.int64)
 
 
+def _narrow(path: str):
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Token ids as bytes, two a token where the vocabulary allows: half of what is shuffled, and nothing to convert."""
+        width = 2 if len(vocabulary(path).tokens) <= 1 << 16 else 4
+        for b in _encode(path)(batches):
+            tokens = b.column("tokens")
+            at = tokens.offsets.to_numpy().astype(np.int64)
+            raw = tokens.values.to_numpy()[at[0] : at[-1]].astype(f"<u{width}")
+            offsets = (at - at[0]) * width
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), body], ["doc_id", "n_tokens", "tokens"])
+
+    return narrow
+
+
 def _pack(capacity: int):
-    def pack(key: tuple, table: pa.Table) -> pa.Table:
+    def pack(shard: int, table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         ids, null = table.column("doc_id").fill_null(0).to_numpy(), table.column("doc_id").is_null().to_numpy()
-        tokens = table.column("tokens").combine_chunks()
-        begin, n = tokens.offsets.to_numpy()[:-1].astype(np.int64), np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-        flat = tokens.values.to_numpy()
+        n = table.column("n_tokens").to_numpy()
+        body = table.column("tokens").combine_chunks().cast(pa.large_binary())
+        ends = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+        width = int(ends[-1] - ends[0]) // int(n.sum())
+        flat = np.frombuffer(body.buffers()[2], f"<u{width}", int(n.sum()), int(ends[0]))
+        begin = np.cumsum(n) - n
         rows = np.lexsort((n, ids, null))
         new = np.concatenate(([True], (ids[rows][1:] != ids[rows][:-1]) | (null[rows][1:] != null[rows][:-1])))
         at = np.arange(len(rows))
@@ -89,22 +110,31 @@ def _pack(capacity: int):
         ends = np.searchsorted(b, np.arange(len(room) + 1)).astype(np.int32)
         of = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
         cut = np.concatenate(([0], np.cumsum(capacity - room))).astype(np.int32)
-        out = [pa.array(np.full(len(room), key[0].as_py(), np.int32)), pa.array(np.arange(len(room), dtype=np.int32)), pa.array((capacity - room).astype(np.int32)), of(pa.array(ids[row], mask=null[row])), *(of(pa.array(x.astype(np.int32))) for x in (copy[row], piece, start)), pa.ListArray.from_arrays(pa.array(cut), pa.array(whole.astype(np.int32)))]
+        out = [pa.array(np.full(len(room), shard, np.int32)), pa.array(np.arange(len(room), dtype=np.int32)), pa.array((capacity - room).astype(np.int32)), of(pa.array(ids[row], mask=null[row])), *(of(pa.array(x.astype(np.int32))) for x in (copy[row], piece, start)), pa.ListArray.from_arrays(pa.array(cut), pa.array(whole.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(out, ["shard", "bin", "n_tokens", "doc_ids", "copies", "pieces", "starts", "tokens"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All of a partition: one shard, or several whole ones."""
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts)
+            for shard in sorted(pc.unique(table.column("shard")).to_pylist()):
+                out = pack(shard, table.filter(pc.equal(table.column("shard"), shard)))
+                for at in range(0, out.num_rows, 1000):
+                    yield out.slice(at, 1000)
         release()
-        return pa.table(out, names=["shard", "bin", "n_tokens", "doc_ids", "copies", "pieces", "starts", "tokens"])
 
-    return pack
+    return packed
 
 
-def sequences(docs: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def sequences(docs: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD_BYTES, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """One row a bin (SCHEMA): a training sequence of at most `capacity` tokens."""
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     shards = max(1, -(-(have.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
-    encoded = encode(have).select("doc_id", "tokens")
+    encoded = have.mapInArrow(_narrow(vocabulary_path), "doc_id bigint, n_tokens bigint, tokens binary")
     # rows without doc_id are dealt by their tokens, so that no shard gets them all
     shard = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("tokens")).otherwise(F.xxhash64("doc_id")), F.lit(shards)).cast("int")
-    # so many partitions, told by number: they are not merged into fewer
-    return encoded.withColumn("shard", shard).repartition(shards, "shard").groupBy("shard").applyInArrow(_pack(capacity), SCHEMA)
+    return encoded.withColumn("shard", shard).repartitionById(shards, "shard").mapInArrow(_pack(capacity), SCHEMA)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD_BYTES, unnamed: bool = False) -> DataFrame:
