@@ -9,13 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.storage import drop_folder, filesystem, fresh_path, local_path, shared_dir, written  # noqa: F401
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
+#: Bytes of an Arrow batch between the JVM and Python, which hold several at once; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Rows of at most this many bytes in all may be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
 #: What a row takes in a broadcast hash table beside its values.
@@ -28,6 +30,14 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * (row_bytes + ROW_BYTES) <= BROADCAST_BYTES else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless they are bounded more narrowly: they are counted in rows, and rows of text may be of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 @functools.cache
 def _libc():
     try:

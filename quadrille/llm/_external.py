@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Rows that a step holds in memory at once.
-MEMORY_ROWS = 1 << 18
+MEMORY_ROWS = 1 << 17
 #: Runs that are merged at once.
 FAN = 24
 

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import joined, steps
+from ._base import bound_batches, joined, steps
 from ._bpe import NONE, VOCABULARY, Vocabulary, pretokens, vocabulary
 
 LEAF = 8192
+#: Text bytes that are encoded in one step.
+ENCODE_BYTES = 1 << 17
 WINDOW = 64
 
 #: An encoded part: its bytes, token ids, where its pre-tokens begin, and the first token of each.
@@ -138,7 +140,7 @@ def decode_tree(v: Vocabulary, ids: np.ndarray, leaf: int = LEAF) -> bytes:
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in steps(batches):
+        for b in steps(batches, most=ENCODE_BYTES):
             null = b.column("text").is_null().to_numpy(zero_copy_only=False)
             data, offsets = joined(b.column("text"))
             size = np.diff(offsets) - 1
@@ -191,6 +193,7 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """doc_id, tokens, n_tokens."""
+    bound_batches(docs.sparkSession)
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return have.mapInArrow(_encode(vocabulary_path), "doc_id bigint, tokens array<int>, n_tokens bigint")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BYTE_VALUES, GEAR, joined, signed, small, span_hashes, steps, written
+from ._base import BYTE_VALUES, GEAR, bound_batches, joined, signed, small, span_hashes, steps, written
 from ._cuts import CUTS, cut, keep_bytes, kept, row_key
 
 MASK_BITS = 4
@@ -123,6 +123,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """What to keep of each text that has repeated runs (CUTS)."""
+    bound_batches(docs.sparkSession)
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs["doc_id"], docs["text"]).alias("row"))
     prints = written(have.select("text").mapInArrow(_fingerprints, "print bigint").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select(F.col("print").alias("_print")), "fingerprints")
     found = have.mapInArrow(_chunk, "doc_id bigint, row bigint, place bigint, print bigint, digest binary")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import BASES, BYTE_VALUES, folded_words, joined, mixed, small, span_hashes, steps, written
+from ._base import BASES, BYTE_VALUES, bound_batches, folded_words, joined, mixed, small, span_hashes, steps, written
 from ._cuts import row_key
 
 COORDINATES = 64
@@ -218,6 +218,7 @@ def checked(edges: DataFrame, have: DataFrame) -> DataFrame:
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, root, keep) of every document of a group of two or more, keep the doc_id and row that stays, and doc_id of repeated rows."""
+    bound_batches(docs.sparkSession)
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     have = have.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     signed = written(have.mapInArrow(_sign, "doc_id bigint, row bigint, sig binary"), "signatures")

@@ -24,13 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import release
+from ._base import bound_batches, release
 from ._bpe import VOCABULARY, vocabulary
 from .byte_bpe import _encode
 
 CAPACITY = 2048
 #: Text that the documents of a shard should have, in bytes.
 SHARD_BYTES = 24 << 20
+#: Bins that are sent back at once.
+BINS = 256
 
 #: A sequence. Piece i of it, number pieces[i] of copy copies[i] of document doc_ids[i], begins at starts[i].
 SCHEMA = "shard int, bin int, n_tokens int, doc_ids array<bigint>, copies array<int>, pieces array<int>, starts array<int>, tokens array<int>"
@@ -81,7 +83,7 @@ def _narrow(path: str):
 
 
 def _pack(capacity: int):
-    def pack(shard: int, table: pa.Table) -> pa.RecordBatch:
+    def pack(shard: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
         ids, null = table.column("doc_id").fill_null(0).to_numpy(), table.column("doc_id").is_null().to_numpy()
         n = table.column("n_tokens").to_numpy()
@@ -107,11 +109,14 @@ def _pack(capacity: int):
         row, piece, size, b, start = row[o], piece[o], size[o], b[o], start[o]
         first = begin[row] + piece * capacity
         whole = np.concatenate([flat[x:y] for x, y in zip(first.tolist(), (first + size).tolist())] or [flat[:0]])
-        ends = np.searchsorted(b, np.arange(len(room) + 1)).astype(np.int32)
-        of = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
-        cut = np.concatenate(([0], np.cumsum(capacity - room))).astype(np.int32)
-        out = [pa.array(np.full(len(room), shard, np.int32)), pa.array(np.arange(len(room), dtype=np.int32)), pa.array((capacity - room).astype(np.int32)), of(pa.array(ids[row], mask=null[row])), *(of(pa.array(x.astype(np.int32))) for x in (copy[row], piece, start)), pa.ListArray.from_arrays(pa.array(cut), pa.array(whole.astype(np.int32)))]
-        return pa.RecordBatch.from_arrays(out, ["shard", "bin", "n_tokens", "doc_ids", "copies", "pieces", "starts", "tokens"])
+        ends = np.searchsorted(b, np.arange(len(room) + 1))
+        cut = np.concatenate(([0], np.cumsum(capacity - room)))
+        for k in range(0, len(room), BINS):
+            z = min(k + BINS, len(room))
+            own = slice(ends[k], ends[z])
+            of = lambda values, at: pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), values)
+            out = [pa.array(np.full(z - k, shard, np.int32)), pa.array(np.arange(k, z, dtype=np.int32)), pa.array((capacity - room[k:z]).astype(np.int32)), of(pa.array(ids[row[own]], mask=null[row[own]]), ends[k : z + 1]), *(of(pa.array(x.astype(np.int32)), ends[k : z + 1]) for x in (copy[row[own]], piece[own], start[own])), of(pa.array(whole[cut[k] : cut[z]].astype(np.int32)), cut[k : z + 1])]
+            yield pa.RecordBatch.from_arrays(out, ["shard", "bin", "n_tokens", "doc_ids", "copies", "pieces", "starts", "tokens"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All of a partition: one shard, or several whole ones."""
@@ -119,9 +124,7 @@ def _pack(capacity: int):
         if parts:
             table = pa.Table.from_batches(parts)
             for shard in sorted(pc.unique(table.column("shard")).to_pylist()):
-                out = pack(shard, table.filter(pc.equal(table.column("shard"), shard)))
-                for at in range(0, out.num_rows, 1000):
-                    yield out.slice(at, 1000)
+                yield from pack(shard, table.filter(pc.equal(table.column("shard"), shard)))
         release()
 
     return packed
@@ -129,6 +132,7 @@ def _pack(capacity: int):
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, shard_bytes: int = SHARD_BYTES, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """One row a bin (SCHEMA): a training sequence of at most `capacity` tokens."""
+    bound_batches(docs.sparkSession)
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     shards = max(1, -(-(have.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     encoded = have.mapInArrow(_narrow(vocabulary_path), "doc_id bigint, n_tokens bigint, tokens binary")

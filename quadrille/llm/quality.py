@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BYTE_VALUES, folded_words, joined, mixed, signed, span_hashes, spans, steps
+from ._base import BYTE_VALUES, bound_batches, folded_words, joined, mixed, signed, span_hashes, spans, steps
 from ._bpe import NONE, Table
 
 #: Bound of the training sample, in labelled documents.
@@ -248,6 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Head,
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "_quality") -> DataFrame:
     """docs with a struct column: quality_score, toxic_score, keep."""
+    bound_batches(docs.sparkSession)
     quality, toxicity, poor, toxic = fit(docs, labels)
     own = docs.withColumn(name + "_s", _measured(poor, toxic)(F.col("text").cast("string")))
     s = F.col(name + "_s")

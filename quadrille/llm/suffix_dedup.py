@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import BASES, drop_folder, filesystem, fresh_path, joined, mixed, release, signed, small, spaced_words, steps, written
+from ._base import BASES, bound_batches, drop_folder, filesystem, fresh_path, joined, mixed, release, signed, small, spaced_words, steps, written
 from ._cuts import cut, row_key
 from ._external import MEMORY_ROWS, Along, Rows, Scratch, ordered, with_last
 from ._suffix_array import suffixes
@@ -365,6 +365,7 @@ def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def repeats(docs: DataFrame, most: int = MEMORY_ROWS) -> tuple[DataFrame, str]:
     """(row, doc_id, spans) of texts with repeated passages, spans of words to cut as from << 32 | to; and the folder of the shards' files."""
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = fresh_path(spark, "queues")
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs["doc_id"], docs["text"]).alias("row"))
     anchors = written(have.select("text", "row").mapInArrow(_anchors, "anchor bigint, row bigint, first int"), "anchors")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import joined, steps
+from ._base import bound_batches, joined, steps
 from ._bpe import NONE, VOCABULARY, pretokens, vocabulary
 
 
@@ -42,6 +42,7 @@ def _count(path: str):
 
 def token_counts(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_pretokens, and n_whole: the pre-tokens that the shortcut took."""
+    bound_batches(docs.sparkSession)
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return have.mapInArrow(_count(vocabulary_path), "doc_id bigint, n_tokens bigint, n_pretokens bigint, n_whole bigint")
 
