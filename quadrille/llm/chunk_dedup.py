@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BYTE_VALUES, GEAR, bound_batches, joined, signed, small, span_hashes, steps, written
+from ._base import BYTE_VALUES, GEAR, bound_batches, joined, signed, span_hashes, steps, written
 from ._cuts import CUTS, cut, keep_bytes, kept, row_key
 
 MASK_BITS = 4
@@ -127,10 +127,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs["doc_id"], docs["text"]).alias("row"))
     prints = written(have.select("text").mapInArrow(_fingerprints, "print bigint").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select(F.col("print").alias("_print")), "fingerprints")
     found = have.mapInArrow(_chunk, "doc_id bigint, row bigint, place bigint, print bigint, digest binary")
-    found = written(found.join(small(prints, 8), F.col("print") == F.col("_print"), "left_semi").drop("print"), "chunks")
+    found = written(found.join(prints, F.col("print") == F.col("_print"), "left_semi").drop("print"), "chunks")
     first = found.groupBy(F.col("digest").alias("_digest")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
     first = written(first.where("n > 1").select("_digest", F.col("first.row").alias("_row"), F.col("first.doc_id").alias("_id"), F.col("first.place").alias("_place")), "first-chunks")
-    later = found.join(small(first, 32), F.col("digest") == F.col("_digest")).where("NOT (row = _row AND place = _place AND doc_id <=> _id)").select("row", "doc_id", "place")
+    later = found.join(first, F.col("digest") == F.col("_digest")).where("NOT (row = _row AND place = _place AND doc_id <=> _id)").select("row", "doc_id", "place")
     return later.groupBy("row", "doc_id").agg(F.collect_list("place").alias("places")).mapInArrow(_runs, CUTS)
 
 
