@@ -13,10 +13,16 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.storage import estimated_bytes
 from quadrille.terms import BOOLEAN, DATETIME, DOUBLE, INTEGER, Iri, Literal, Term, key
 
 _number = itertools.count()
 
+#: Joins that multiply rows are dealt out where the product of both sides' bytes is beyond this, to so many parts a core.
+SPREAD_PRODUCT, SPREAD_PARTS = 1 << 30, 4
+#: Of them, those whose smaller side is estimated at most at this broadcast it.
+SPREAD_BROADCAST = 2 << 20
+
 
 @dataclass(frozen=True)
 class TermMap:
@@ -65,6 +71,8 @@ class Frame:
     weight: str | None = None
     #: How selective it is taken to be: constants and filters on it.
     bound: int = 0
+    #: Variables of which many rows may have one value: a join on these alone multiplies rows.
+    many: frozenset[str] = frozenset()
 
     def table(self, spark: SparkSession) -> DataFrame:
         return self.df if self.df is not None else spark.range(1).select()
@@ -76,7 +84,7 @@ class Frame:
         new = {n: replace(b, column=fresh(n)) for n, b in self.vars.items()}
         w = fresh("w") if self.weight else None
         cols = [self.vars[n].col.alias(b.column) for n, b in new.items()] + ([F.col(self.weight).alias(w)] if w else [])
-        return Frame(self.df.select(*cols), new, w, self.bound)
+        return Frame(self.df.select(*cols), new, w, self.bound, self.many)
 
     def keyed(self, names) -> Frame:
         """With these variables as term keys."""
@@ -149,13 +157,33 @@ def join(left: Frame, right: Frame) -> Frame:
     right = right.renamed()
     shared = [n for n in left.vars if n in right.vars]
     condition = compatible(left, right, shared)
-    df = left.df.crossJoin(right.df) if condition is None else left.df.join(right.df, condition)
+    if shared and set(shared) <= left.many & right.many and all(left.vars[n].map == right.vars[n].map for n in shared):
+        df = _multiplied(left, right, condition, shared)
+    else:
+        df = left.df.crossJoin(right.df) if condition is None else left.df.join(right.df, condition)
     cols, names = merged(left, right)
     weight = None
     if left.weight or right.weight:
         weight = fresh("w")
         cols.append((F.col(left.weight) * F.col(right.weight) if left.weight and right.weight else F.col(left.weight or right.weight)).alias(weight))
-    return Frame(df.select(*cols), names, weight, left.bound + right.bound)
+    return Frame(df.select(*cols), names, weight, left.bound + right.bound, left.many | right.many)
+
+
+def _multiplied(left: Frame, right: Frame, condition: Column, shared: list[str]) -> DataFrame:
+    """A join of frames that both may have many rows a key. It may give far more rows than it reads, and keys may be few, so its work is dealt
+    out by rows of the larger side: neither the splits of files nor the number of keys bounds the tasks."""
+    sizes = [estimated_bytes(f.df) for f in (left, right)]
+    if sizes[0] * sizes[1] < SPREAD_PRODUCT:
+        return left.df.join(right.df, condition)
+    parts = SPREAD_PARTS * left.df.sparkSession.sparkContext.defaultParallelism
+    large, small = (left, right) if sizes[0] >= sizes[1] else (right, left)
+    if min(sizes) <= SPREAD_BROADCAST:
+        return large.df.repartition(parts).join(F.broadcast(small.df), condition)
+    # a copy of each row of the smaller side for each part of the larger one; sorted, so both sides spill
+    a, b = fresh("_part"), fresh("_part")
+    dealt = large.df.withColumn(a, F.pmod(F.xxhash64(*large.df.columns), F.lit(parts)).cast("int")).repartition(parts, *(large.vars[n].col for n in shared), a)
+    copies = small.df.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, *(small.vars[n].col for n in shared), b)
+    return dealt.join(copies.hint("merge"), condition & (F.col(a) == F.col(b)))
 
 
 def left_join(left: Frame, right: Frame, condition_of, spark: SparkSession) -> Frame:

@@ -123,7 +123,8 @@ class TableSource:
             end(t.o, F.col(column), self.object_map(m, column), df.schema[column].dataType.simpleString())
         for test in tests:
             df = df.where(test)
-        return Frame(df.select(*(c.alias(a) for c, _, a in names.values())), {n: Bound(a, map_) for n, (_, map_, a) in names.items()}, bound=bound)
+        many = frozenset(n for n in names if not (m.key and isinstance(s, Var) and n == s.name))
+        return Frame(df.select(*(c.alias(a) for c, _, a in names.values())), {n: Bound(a, map_) for n, (_, map_, a) in names.items()}, bound=bound, many=many)
 
     def scan(self, t: Triple) -> Frame:
         """One pattern: over all tables and columns where the predicate is a variable or a negated set."""

@@ -38,6 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes df's size to be, from the sizes of files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
