@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of rows, as they lie in memory, that one part of a dealt table is meant to hold.
+PART_BYTES = 64 << 20
 
 
 def local_path(uri: str) -> str:
@@ -47,6 +53,16 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def parts_for(df: DataFrame) -> int:
+    """How many parts keep each to PART_BYTES, by a pass over df's rows and the lengths of their strings; so a task's memory is the same at every
+    size, whatever the session's number of shuffle partitions."""
+    flat = (T.NumericType, T.BooleanType, T.DatetimeType)
+    loose = [F.coalesce(F.octet_length(F.col(f"`{f.name}`") if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema if not isinstance(f.dataType, flat)]
+    size = functools.reduce(lambda a, b: a + b, loose, F.lit(16 * (len(df.columns) + 1)))
+    total = df.select(F.sum(size.cast("bigint"))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor costs nothing that was written."""
     spark = df.sparkSession

@@ -12,8 +12,9 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators.frames import fresh
 from quadrille.sources.ntriples import instant
-from quadrille.storage import written
+from quadrille.storage import parts_for, written
 from quadrille.terms import DATETIME, RDF, Iri, key
 
 DCT = "http://purl.org/dc/terms/"
@@ -117,9 +118,14 @@ def as_of_rows(table: DataFrame, base: str, ts: str, order: str, until) -> DataF
 
 
 def diff(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that came and rows that went, between two sets of like columns."""
-    a, b = before.distinct(), after.distinct()
-    return b.exceptAll(a), a.exceptAll(b)
+    """Rows that came and rows that went, between two sets of like columns. Both sets are read when it is called."""
+    side, low, high = fresh("_side"), fresh("_low"), fresh("_high")
+    rows = before.withColumn(side, F.lit(1)).unionAll(after.toDF(*before.columns).withColumn(side, F.lit(2)))
+    # dealt out first: rows are mostly distinct, so an aggregate before the shuffle would only hold those of a whole split
+    by = [F.col(f"`{c}`") for c in before.columns]
+    sides = rows.repartition(parts_for(rows), *by).groupBy(*by).agg(F.min(side).alias(low), F.max(side).alias(high))
+    changed = written(sides.where(F.col(low) == F.col(high)), "diff")
+    return changed.where(F.col(low) == 2).select(*by), changed.where(F.col(low) == 1).select(*by)
 
 
 def by_subject() -> Column:
@@ -163,6 +169,6 @@ class SnapshotStore:
         """(insertions, deletions) of each snapshot, against the one before it; the first against nothing."""
         before = self.spark.createDataFrame([], "s string, p string, o string")
         for k in range(self.count):
-            after = self.snapshot(k)
+            after = written(self.snapshot(k), "state")
             yield diff(before, after)
             before = after

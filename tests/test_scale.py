@@ -1,10 +1,13 @@
 """Plans and steps that must hold on larger tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quadrille import storage
 from quadrille.graph import Graph
 from quadrille.operators import frames
 from quadrille.queries import PREFIXES, SPARQL
+from quadrille.streaming.versioned import diff
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,3 +22,22 @@ def test_joins_that_multiply_rows_are_dealt_out(spark, monkeypatch, most):
     per_task = df.rdd.glom().map(len).collect()
     assert sorted(map(tuple, df.collect())) == want
     assert max(per_task) < len(want) / 4
+
+
+def test_parts_follow_the_bytes_of_rows(spark, monkeypatch):
+    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    monkeypatch.setattr(storage, "PART_BYTES", 10_000)
+    assert 100 <= storage.parts_for(df) <= 110
+    assert storage.parts_for(df.where("id < 0")) == spark.sparkContext.defaultParallelism
+
+
+def test_a_diff_is_dealt_out_by_its_size(spark, monkeypatch):
+    """Nulls are equal, repeats count once, and parts grow with the rows."""
+    df = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit("x").alias("v"))
+    before, after = df.where("id IS NULL OR id % 3 <> 0"), df.where("id IS NULL OR id % 5 <> 0").withColumn("v", F.when(F.col("id") == 1, "y").otherwise("x"))
+    monkeypatch.setattr(storage, "PART_BYTES", 10_000)
+    came, went = diff(before.union(before), after)
+    assert {tuple(r) for r in came.collect()} == {(1, "y")} | {(i, "x") for i in range(1, 3000) if i % 3 == 0 and i % 5}
+    assert {tuple(r) for r in went.collect()} == {(1, "x")} | {(i, "x") for i in range(1, 3000) if i % 5 == 0 and i % 3}
+    assert came.count() + went.count() == len(set(came.collect())) + len(set(went.collect()))
+    assert len(came.inputFiles()) >= 10
