@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quadrille.terms import RDF, STRING, head_of, kind_of, lexical_of
 
-_IRI = r"<([^<>\"{}|^`\\\x00-\x20]*(?:\\u[0-9A-Fa-f]{4}[^<>\"{}|^`\\\x00-\x20]*|\\U[0-9A-Fa-f]{8}[^<>\"{}|^`\\\x00-\x20]*)*)>"
+_IRI = r"<([^<>\"{}|^`\\\x00-\x20]*+(?:\\u[0-9A-Fa-f]{4}[^<>\"{}|^`\\\x00-\x20]*+|\\U[0-9A-Fa-f]{8}[^<>\"{}|^`\\\x00-\x20]*+)*+)>"
 _BLANK = r"_:([^\s<\"]*[^\s<\".])"
-_LITERAL = r"\"((?:[^\"\\\n\r]|\\.)*)\"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
+_LITERAL = r"\"([^\"\\\n\r]*+(?:\\.[^\"\\\n\r]*+)*+)\"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
 _LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:{_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
 
 
@@ -48,13 +48,17 @@ def read(spark: SparkSession, path: str, scope: str | None = None) -> DataFrame:
 
 
 def _quads(lines: DataFrame, scope: str | None) -> DataFrame:
-    x = lambda i: F.regexp_extract("line", _LINE, i)
+    # the groups of a statement, each on a line of its own: one match a line. Lines hold no line feed, so one without is no statement; explode
+    # keeps the optimizer from matching again for each use
+    groups = F.split(F.regexp_replace("line", _LINE, "".join(f"${i}\n" for i in range(1, 11))), "\n")
+    lines = lines.select("line", "file", F.explode(F.array(groups)).alias("groups"))
+    x = lambda i: F.col("groups")[i - 1]
     mark = F.lit(hashlib.md5(scope.encode()).hexdigest()[:8]) if scope is not None else F.substring(F.md5("file"), 1, 8)
     blank = lambda c: F.concat(F.lit("B"), mark, F.lit("."), c)
     iri = lambda c: F.concat(F.lit("I"), _unescaped(c))
     text = _unescaped(x(6))
     value = F.when(x(8) != "", F.concat(F.lit("@"), F.lower(x(8)), F.lit("|"), text)).otherwise(F.concat(F.lit("L"), F.when(x(7) != "", x(7)).otherwise(F.lit(STRING)), F.lit("|"), text))
-    ok = F.col("line").rlike(_LINE)
+    ok = F.size("groups") > 10
     checked = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no statement: "), F.col("line"))).cast("boolean"))
     o = F.when(x(4) != "", iri(x(4))).when(x(5) != "", blank(x(5))).otherwise(value)
     return lines.where(checked).select(F.when(x(2) != "", blank(x(2))).otherwise(iri(x(1))).alias("s"), iri(x(3)).alias("p"), o.alias("o"), F.when(x(9) != "", iri(x(9))).when(x(10) != "", blank(x(10))).alias("g"))
@@ -66,7 +70,7 @@ def term_text(k: Column) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(a), F.lit(b))
     tail = F.when(kind_of(k) == "@", F.concat(F.lit("@"), head_of(k))).when(head_of(k) == STRING, F.lit("")).otherwise(F.concat(F.lit("^^<"), head_of(k), F.lit(">")))
-    return F.when(kind_of(k) == "I", F.concat(F.lit("<"), lexical_of(k), F.lit(">"))).when(kind_of(k) == "B", F.concat(F.lit("_:"), F.regexp_replace(lexical_of(k), r"[^A-Za-z0-9_.]", "_"))).otherwise(F.concat(F.lit('"'), body, F.lit('"'), tail))
+    return F.when(kind_of(k) == "I", F.concat(F.lit("<"), F.substring(k, F.lit(2), F.length(k)), F.lit(">"))).when(kind_of(k) == "B", F.concat(F.lit("_:"), F.regexp_replace(lexical_of(k), r"[^A-Za-z0-9_.]", "_"))).otherwise(F.concat(F.lit('"'), body, F.lit('"'), tail))
 
 
 def statements(quads: DataFrame) -> DataFrame:

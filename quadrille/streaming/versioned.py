@@ -98,13 +98,19 @@ class VersionedStream:
     def of_quads(cls, spark: SparkSession, quads: DataFrame, identifier: str, transform: Transform | None = None) -> VersionedStream:
         """The stream that quads hold under this IRI; ValueError if they don't say which paths it uses. Members without time or object
         are left out; of equal times the order of ids counts as that of arrival."""
+        quads = written(quads.select("s", "p", "o", "g"), "stream")  # read several times, and perhaps parsed from text
         me = quads.where((F.col("s") == "I" + identifier) & F.col("p").isin("I" + LDES + "timestampPath", "I" + LDES + "versionOfPath"))
         paths = {r.p[1 + len(LDES) :]: r.o for r in me.select("p", "o").collect()}
         if set(paths) != {"timestampPath", "versionOfPath"}:
             raise ValueError(f"<{identifier}> is no versioned stream here")
-        ids = quads.where((F.col("s") == "I" + identifier) & (F.col("p") == key(Iri(TREE + "member")))).select(F.col("o").alias("id")).distinct()
-        at = lambda p, name: quads.where(F.col("p") == paths[p]).groupBy(F.col("s").alias("id")).agg(F.min("o").alias(name))
-        found = ids.join(at("versionOfPath", "base"), "id").join(at("timestampPath", "at"), "id").withColumn("ts", instant(F.substring_index("at", "|", -1))).where("ts IS NOT NULL")
+        member = (F.col("s") == "I" + identifier) & (F.col("p") == key(Iri(TREE + "member")))
+        said = [member, *(F.col("p") == paths[p] for p in ("versionOfPath", "timestampPath"))]
+        # a quad may say more than one of these; one shuffle by member brings them together
+        cells = F.array(*(F.when(t, F.struct((F.col("o") if t is member else F.col("s")).alias("id"), F.lit(k).alias("k"), F.col("o").alias("o"))) for k, t in enumerate(said)))
+        rows = quads.where(said[0] | said[1] | said[2]).select(F.explode(cells).alias("c")).where("c IS NOT NULL").select("c.*")
+        of = lambda k: F.min(F.when(F.col("k") == k, F.col("o")))
+        found = rows.groupBy("id").agg(of(0).alias("is"), of(1).alias("base"), of(2).alias("at")).where("is IS NOT NULL AND base IS NOT NULL AND at IS NOT NULL")
+        found = found.withColumn("ts", instant(F.substring_index("at", "|", -1))).where("ts IS NOT NULL")
         members = found.select("id", "base", "ts", (F.row_number().over(Window.partitionBy("base").orderBy("ts", "id")) - 1).cast("bigint").alias("seq"))
         stream = cls(spark, written(members, "members"), None, transform)
         stream.quads = quads.where("g IS NOT NULL").select("s", "p", "o", "g") if isinstance(stream.transform, GraphBased) else quads.select("s", "p", "o", "g")

@@ -7,6 +7,7 @@ from quadrille import storage
 from quadrille.graph import Graph
 from quadrille.operators import frames
 from quadrille.queries import PREFIXES, SPARQL
+from quadrille.sources import ntriples
 from quadrille.streaming.versioned import diff
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +42,12 @@ def test_a_diff_is_dealt_out_by_its_size(spark, monkeypatch):
     assert {tuple(r) for r in went.collect()} == {(1, "x")} | {(i, "x") for i in range(1, 3000) if i % 5 == 0 and i % 3}
     assert came.count() + went.count() == len(set(came.collect())) + len(set(went.collect()))
     assert len(came.inputFiles()) >= 10
+
+
+def test_a_line_is_matched_once(spark, tmp_path):
+    """However many of its terms are used, and also where they are filtered."""
+    (tmp_path / "a.nt").write_text('<urn:a> <urn:p> "x\x01\\ty"@en-GB <urn:g> .\n# no statement\n_:b <urn:p> _:c . # yes\n<urn:a> <urn:q> "5"^^<urn:d> .\n')
+    df = ntriples.read(spark, str(tmp_path / "a.nt"), "here").where("p = 'Iurn:p' AND s LIKE '%a' AND o LIKE '@%'")
+    assert [tuple(r) for r in df.collect()] == [("Iurn:a", "Iurn:p", "@en-gb|x\x01\ty", "Iurn:g")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "regexp_extract(" not in plan
