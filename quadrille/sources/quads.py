@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.operators.frames import Bound, Frame, fresh
 from quadrille.plans.algebra import Not, Step, Triple, Var
+from quadrille.storage import parts_for, written
 from quadrille.terms import Iri, Term, key, key_of_struct, literal, struct_of
 
 SCHEMA = "s string, p string, o string, g string"
@@ -15,8 +16,9 @@ SCHEMA = "s string, p string, o string, g string"
 def write_store(quads: DataFrame, path: str) -> None:
     """Quads as a store: Parquet in order of predicate, subject and object, so that scans for one predicate or subject skip the files
     and row groups of all others by their statistics."""
-    rows = quads.select("s", "p", "o", "g").distinct()
-    rows.repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o").write.parquet(path)
+    rows = written(quads.select("s", "p", "o", "g"), "quads")  # read three times
+    # in parts by their bytes; equal quads are in one part then, which makes them distinct: before the shuffle that would hold all of a split's rows
+    rows.repartitionByRange(parts_for(rows), "p", "s", "o").distinct().sortWithinPartitions("p", "s", "o").write.parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> QuadSource:
