@@ -8,6 +8,7 @@ term keys (quadrille.terms). NULL is unbound; `certain` variables never are.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,10 @@ class Frame:
     bound: int = 0
     #: Variables of which many rows may have one value: a join on these alone multiplies rows.
     many: frozenset[str] = frozenset()
+    #: The frames that df is the union of, beside that df: what is made of it has another.
+    parts: tuple[DataFrame, list[Frame]] | None = None
+    #: How a scan of many cells is made again for what it is joined with, beside its df.
+    remake: tuple[DataFrame, Callable[[Frame], Frame | None]] | None = None
 
     def table(self, spark: SparkSession) -> DataFrame:
         return self.df if self.df is not None else spark.range(1).select()
@@ -111,6 +116,31 @@ def equal(a: Bound, b: Bound) -> Column:
     return a.key() == b.key()
 
 
+def apart(a: Bound, b: Bound) -> bool:
+    """No term is a value of both, by their maps alone."""
+    if not (a.map and b.map):
+        return False
+    x, y = (f"I{m.head}" if m.kind == "iri" else f"L{m.head}|" for m in (a.map, b.map))
+    return not (x.startswith(y) or y.startswith(x))
+
+
+def narrowed(f: Frame, other: Frame) -> Frame | None:
+    """f without those parts of a union, or cells of a scan, whose terms can't be those of `other`, by their maps: none of their solutions would be
+    joined with any of its. None if nothing is left."""
+    if any(b.certain and n in other.vars and other.vars[n].certain and apart(b, other.vars[n]) for n, b in f.vars.items()):
+        return None
+    if f.remake is not None and f.remake[0] is f.df:
+        return f.remake[1](other)
+    if f.parts is None or f.parts[0] is not f.df:
+        return f
+    frames = [narrowed(x, other) for x in f.parts[1]]
+    if all(a is b for a, b in zip(frames, f.parts[1])):
+        return f
+    keep = [x for x in frames if x is not None]
+    # variables are keys as they were, so values look the same
+    return replace(union(keep, f.df.sparkSession), bound=f.bound).keyed([n for n, b in f.vars.items() if b.map is None]) if keep else None
+
+
 def compatible(left: Frame, right: Frame, shared: list[str]) -> Column | None:
     """The shared variables agree where both are bound; equalities of certain ones come first, as keys of an equi-join."""
     out = None
@@ -154,6 +184,8 @@ def join(left: Frame, right: Frame) -> Frame:
         return right
     if right.df is None:
         return left
+    a, b = narrowed(left, right), narrowed(right, left)
+    left, right = a or replace(left, df=left.df.where(F.lit(False))), b or replace(right, df=right.df.where(F.lit(False)))
     right = right.renamed()
     shared = [n for n in left.vars if n in right.vars]
     condition = compatible(left, right, shared)
@@ -253,4 +285,4 @@ def union(frames: list[Frame], spark: SparkSession) -> Frame:
     df = parts[0]
     for p in parts[1:]:
         df = df.unionAll(p)
-    return Frame(df, out, w)
+    return Frame(df, out, w, parts=(df, frames))

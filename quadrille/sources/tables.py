@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.operators.frames import Bound, Frame, TermMap, fresh, union
+from quadrille.operators.frames import Bound, Frame, TermMap, apart, fresh, union
 from quadrille.plans.algebra import Not, Step, Triple, Var
 from quadrille.terms import BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, INTEGER, RDF, STRING, XSD, Iri, key
 
@@ -183,7 +183,17 @@ class TableSource:
                 rows = rows.where(full(c, how) == full(*names[x.name][:2]))
             else:
                 names[x.name] = (c, how, fresh(x.name))
-        return Frame(rows.select(*(c.alias(a) for c, _, a in names.values())), {n: Bound(a, how) for n, (_, how, a) in names.items()})
+        out = Frame(rows.select(*(c.alias(a) for c, _, a in names.values())), {n: Bound(a, how) for n, (_, how, a) in names.items()})
+        out.remake = (out.df, lambda other: self._narrowed(m, cells, t, out, other))
+        return out
+
+    def _narrowed(self, m: Mapping, cells: list[tuple[str | None, Iri]], t: Triple, whole: Frame, other: Frame) -> Frame | None:
+        """The cells whose objects can be what `other` binds."""
+        b = other.vars.get(t.o.name) if isinstance(t.o, Var) else None
+        if b is None or not b.certain or b.map is None:
+            return whole
+        keep = [(c, q) for c, q in cells if not (b.map.kind != "iri" or not f"urn:{m.name}".startswith(b.map.head) if c is None else apart(Bound("", self.object_map(m, c)), b))]
+        return whole if len(keep) == len(cells) else self._wide(m, keep, t) if keep else None
 
     def _none(self, t: Triple) -> Frame:
         vars_ = {x.name: Bound(fresh(x.name)) for x in (t.s, t.o, t.g, *([t.p.term] if isinstance(t.p, Step) else [])) if isinstance(x, Var)}

@@ -8,6 +8,7 @@ from quadrille.graph import Graph
 from quadrille.operators import frames
 from quadrille.queries import PREFIXES, SPARQL
 from quadrille.sources import ntriples
+from quadrille.sources.quads import write_store
 from quadrille.streaming.versioned import diff
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,3 +52,24 @@ def test_a_line_is_matched_once(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("Iurn:a", "Iurn:p", "@en-gb|x\x01\ty", "Iurn:g")]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace") == 1 and "regexp_extract(" not in plan
+
+
+def test_scans_are_narrowed_to_what_they_are_joined_with(spark):
+    """Rows of other tables are other subjects, and their cells other objects: neither is read."""
+    df = Graph.of_tables(spark, FOLDER).values(PREFIXES + SPARQL["path_negated_inverse"][0])
+    assert {f.rsplit("/", 1)[1] for f in df.inputFiles()} == {"nation.parquet"}
+    # both directions and a class as object stay
+    df = Graph.of_tables(spark, FOLDER).values(PREFIXES + "SELECT ?x { ?n n:n_name 'KENYA' . ?x !(n:n_name|^n:n_nationkey|^n:n_regionkey|^rdf:type) ?n }")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_nationkey" in plan and "s_nationkey" in plan and "l_orderkey" not in plan
+    df = Graph.of_tables(spark, FOLDER).values(PREFIXES + "SELECT ?x { VALUES ?t { <urn:region> } ?x ?p ?t }")
+    assert df.count() == 5
+
+
+def test_a_store_is_written_in_parts_by_its_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "PART_BYTES", 10_000)
+    rows = spark.range(1000).select(F.concat(F.lit("Is"), F.col("id") % 500).alias("s"), F.lit("Ip").alias("p"), F.lit("Io").alias("o"), F.when(F.col("id") % 500 > 9, "Ig").alias("g"))
+    write_store(rows, str(tmp_path / "store"))
+    got = spark.read.parquet(str(tmp_path / "store"))
+    assert got.count() == 500 and got.distinct().count() == 500
+    assert len(got.inputFiles()) > 4
